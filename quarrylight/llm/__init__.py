@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("sharding", "urls")
+_MODULES = ("topk", "packing", "sharding", "urls")
 
 
 def queries() -> dict:
