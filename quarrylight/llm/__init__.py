@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("topk", "packing", "sharding", "urls")
+_MODULES = ("topk", "packing", "simhash", "sharding", "urls")
 
 
 def queries() -> dict:
