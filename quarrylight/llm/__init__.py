@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("topk", "packing", "decontaminate", "simhash", "sharding", "urls")
+_MODULES = ("topk", "packing", "langid", "decontaminate", "simhash", "sharding", "urls")
 
 
 def queries() -> dict:
