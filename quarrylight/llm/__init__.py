@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("topk", "packing", "langid", "decontaminate", "simhash", "sharding", "urls")
+from quarrylight.session import shipped
+
+_MODULES = ("topk", "packing", "langid", "decontaminate", "simhash", "quality", "sharding", "urls")
 
 
 def queries() -> dict:
-    return {k: f for m in _MODULES for k, f in importlib.import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: shipped(f) for m in _MODULES for k, f in importlib.import_module(f"{__name__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
