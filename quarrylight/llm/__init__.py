@@ -6,7 +6,7 @@ import importlib
 
 from quarrylight.session import shipped
 
-_MODULES = ("topk", "packing", "chat", "langid", "decontaminate", "simhash", "quality", "sharding", "urls")
+_MODULES = ("topk", "packing", "chat", "langid", "decontaminate", "simhash", "suffixes", "quality", "sharding", "urls")
 
 
 def queries() -> dict:
