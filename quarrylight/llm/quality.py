@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quarrylight.llm.common import table
 
 #: About so many labelled and so many further documents are learned from, chosen by a hash of doc_id.
-LABELLED, POOL = 6000, 4000
+LABELLED, POOL = 5000, 3000
 ROUNDS, EXCHANGED = 3, 0.02
 #: Bytes of the beginnings of longer words that count as terms of their own.
 STEMS = (4, 5, 6, 7)
@@ -50,58 +50,68 @@ def meta_terms(source: str | None, lang: str | None, n_chars: int | None) -> set
     return {x.encode() for x in (source, lang, f"size {size}", f"{source} {lang}", f"{lang} {size}")}
 
 
-def _apart(a: int, b: int, a_all: int, b_all: int) -> float:
-    """Square root of the likelihood ratio statistic of a term in a of a_all and b of b_all documents."""
+def _apart(a: np.ndarray, b: np.ndarray, a_all: int, b_all: int) -> np.ndarray:
+    """Square root of the likelihood ratio statistic of terms in a of a_all and b of b_all documents."""
     n = a_all + b_all
-    cells = ((a, a_all, a + b), (a_all - a, a_all, n - a - b), (b, b_all, a + b), (b_all - b, b_all, n - a - b))
-    return math.sqrt(max(0.0, 2 * sum(o * math.log(o * n / (row * col)) for o, row, col in cells if o)))
+    total = np.zeros(len(a))
+    for seen, row, col in ((a, a_all, a + b), (a_all - a, a_all, n - a - b), (b, b_all, a + b), (b_all - b, b_all, n - a - b)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total += np.where(seen > 0, seen * np.log(seen * n / (row * col)), 0.0)
+    return np.sqrt(np.maximum(0.0, 2 * total))
+
+
+def _prob(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class View:
-    """Logistic regression on the presence of the terms that tell a target's documents apart, with Platt calibration."""
+    """Logistic regression on the presence of the terms that tell a target's documents apart, with Platt calibration.
 
-    def __init__(self):
-        self.terms: dict[bytes, int] = {}
-        self.w, self.bias, self.scale, self.shift = np.zeros(0), 0.0, 1.0, 0.0
+    Documents are arrays of term numbers below `kinds`.
+    """
+
+    def __init__(self, kinds: int):
+        self.kinds, self.own, self.w, self.bias, self.scale, self.shift = kinds, np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, 0.0
 
-    def _rows(self, docs: list[set[bytes]]) -> np.ndarray:
-        x = np.zeros((len(docs), len(self.terms)), np.float32)
-        own = self.terms.keys()
+    def _rows(self, docs: list[np.ndarray]) -> np.ndarray:
+        place = np.full(self.kinds, -1, np.int32)
+        place[self.own] = np.arange(len(self.own))
+        x = np.zeros((len(docs), len(self.own)), np.float32)
         for row, d in zip(x, docs, strict=True):
-            row[[self.terms[t] for t in d & own]] = 1
+            at = place[d]
+            row[at[at >= 0]] = 1
         return x
 
-    def fit(self, docs: list[set[bytes]], y: np.ndarray, steps: int = 300) -> View:
-        ones, zeros = Counter(), Counter()
-        for d, v in zip(docs, y, strict=True):
-            (ones if v else zeros).update(d)
+    def _counts(self, docs: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate(docs), minlength=self.kinds) if docs else np.zeros(self.kinds, np.int64)
+
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, steps: int = 300) -> View:
+        a, b = (self._counts([d for d, v in zip(docs, y, strict=True) if v == k]) for k in (1, 0))
         a_all, b_all = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-        seen = {t: (ones[t], zeros[t]) for t in ones.keys() | zeros.keys() if ones[t] + zeros[t] >= 3}
-        least = math.sqrt(2 * math.log(max(2, len(ones.keys() | zeros.keys()))))  # what the luckiest of so many terms reaches by chance
-        strength = {t: g for t, (a, b) in seen.items() if (g := _apart(a, b, a_all, b_all)) >= least}
-        best = sorted(strength, key=lambda t: (-strength[t], t))[:TERMS]
-        self.terms = {t: i for i, t in enumerate(best)}
+        least = math.sqrt(2 * math.log(max(2, int(((a + b) > 0).sum()))))  # what the luckiest of so many terms reaches by chance
+        strength = np.where(a + b >= 3, _apart(a, b, a_all, b_all), 0.0)
+        order = np.argsort(-strength, kind="stable")[:TERMS]
+        self.own = order[strength[order] >= least]
         x, n = self._rows(docs), max(1, len(docs))
-        self.w, self.bias = np.zeros(len(best)), math.log(a_all / b_all)
-        m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+        self.w, self.bias = np.zeros(len(self.own)), math.log(a_all / b_all)
+        m, v = np.zeros(len(self.own) + 1), np.zeros(len(self.own) + 1)
         for step in range(1, steps + 1):
-            e = 1 / (1 + np.exp(-np.clip(x @ self.w + self.bias, -30, 30))) - y
+            e = _prob(x @ self.w + self.bias) - y
             g = np.append(x.T @ e / n + 1e-3 * self.w, e.mean())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             d = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             self.w, self.bias = self.w - d[:-1], self.bias - d[-1]
         return self
 
-    def logit(self, docs: list[set[bytes]]) -> np.ndarray:
-        own = self.terms.keys()
-        return self.scale * np.array([self.bias + sum(self.w[self.terms[t]] for t in d & own) for d in docs]) + self.shift
+    def logit(self, docs: list[np.ndarray]) -> np.ndarray:
+        return self.scale * (self._rows(docs) @ self.w + self.bias) + self.shift
 
-    def calibrate(self, docs: list[set[bytes]], y: np.ndarray) -> View:
+    def calibrate(self, docs: list[np.ndarray], y: np.ndarray) -> View:
         """Platt scaling on documents that were not learned from."""
         s = self.logit(docs)
         a, b = 1.0, 0.0
         for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
+            p = _prob(a * s + b)
             e, h = p - y, p * (1 - p) + 1e-6
             g = np.array([(e * s).mean() + 1e-3 * (a - 1), e.mean()])
             hess = np.array([[(h * s * s).mean() + 1e-3, (h * s).mean()], [(h * s).mean(), h.mean() + 1e-6]])
@@ -111,65 +121,89 @@ class View:
         return self
 
 
-def _prob(z):
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
 class CoTrained:
-    """Both views of one target and the weights that combine their calibrated logits."""
+    """Both views of one target as weights by term hash, and how their calibrated logits combine."""
 
-    def __init__(self, rows: list[tuple[set, set, int]], pool: list[tuple[set, set]]):
+    def __init__(self, rows: list[tuple], y: np.ndarray, pool: list[tuple], names: tuple[np.ndarray, np.ndarray]):
+        """rows and pool: documents as (text, meta) arrays of term numbers; names: the terms' hashes in either view."""
+        y = y.astype(float)
         fold = np.arange(len(rows)) % 5 == 0
-        y = np.array([r[2] for r in rows], float)
-        learn = [i for i in range(len(rows)) if not fold[i]]
-        held = [i for i in range(len(rows)) if fold[i]]
-        sets = [([rows[i][v] for i in learn], [y[i] for i in learn]) for v in (0, 1)]
-        left = set(range(len(pool)))
-        n = max(1, int(EXCHANGED * len(pool)))
-        base = y[learn].mean() if learn else 0.5
-        for _ in range(ROUNDS):
-            self.views = [View().fit(d, np.array(t)) for d, t in sets]
-            at = sorted(left)
-            if not at:
-                break
-            for v, view in enumerate(self.views):  # each view teaches the other its surest, in the classes' proportion
-                s = view.logit([pool[i][v] for i in at])
-                order = np.argsort(s, kind="stable")
-                ones, zeros = max(1, round(n * base)), max(1, round(n * (1 - base)))
-                for chosen, label, sure in ((order[::-1][:ones], 1.0, _prob(s) > 0.95), (order[:zeros], 0.0, _prob(s) < 0.05)):
+        learn, held = np.flatnonzero(~fold), np.flatnonzero(fold)
+        sets = [([rows[i][v] for i in learn], list(y[learn])) for v in (0, 1)]
+        fitted = lambda v: View(len(names[v])).fit(sets[v][0], np.array(sets[v][1]))
+        left, n = np.ones(len(pool), bool), max(1, int(EXCHANGED * len(pool)))
+        base = y[learn].mean() if len(learn) else 0.5
+        for _ in range(ROUNDS if len(learn) else 0):
+            views = [fitted(v) for v in (0, 1)]
+            for v, view in enumerate(views):  # each view teaches the other its surest, in the classes' proportion
+                at = np.flatnonzero(left)
+                p = _prob(view.logit([pool[i][v] for i in at]))
+                order = np.argsort(p, kind="stable")
+                for chosen, label in ((order[::-1][: max(1, round(n * base))], 1.0), (order[: max(1, round(n * (1 - base)))], 0.0)):
                     for k in chosen:
-                        if sure[k] and at[k] in left:
+                        if abs(p[k] - label) < 0.05 and left[at[k]]:
                             sets[1 - v][0].append(pool[at[k]][1 - v])
                             sets[1 - v][1].append(label)
-                            left.discard(at[k])
-        self.views = [View().fit(d, np.array(t)) for d, t in sets]
-        self.mix, self.bias = np.array([1.0, 0.0]), 0.0
+                            left[at[k]] = False
+        views = [fitted(v) for v in (0, 1)]
+        mix, self.bias = np.array([1.0, 0.0]), 0.0
         if len(set(y[held])) == 2:
-            for v, view in enumerate(self.views):
+            for v, view in enumerate(views):
                 view.calibrate([rows[i][v] for i in held], y[held])
-            prior = math.log(y[held].mean() / (1 - y[held].mean()))
-            z = np.stack([view.logit([rows[i][v] for i in held]) for v, view in enumerate(self.views)], 1)
-            self.mix, self.bias = np.array([1.0, 1.0]), -prior  # independent views: logits add, less one prior
-            if np.log(_prob(np.where(y[held] == 1, 1, -1) * (z @ self.mix + self.bias))).mean() < np.log(_prob(np.where(y[held] == 1, 1, -1) * z[:, 0])).mean():
-                self.mix, self.bias = np.array([1.0, 0.0]), 0.0  # the metadata view has nothing to add
+            share = y[held].mean()
+            z = np.stack([view.logit([rows[i][v] for i in held]) for v, view in enumerate(views)], 1)
+            likely = lambda logit: np.log(_prob(np.where(y[held] == 1, 1, -1) * logit)).mean()
+            both = -math.log(share / (1 - share))  # independent views: logits add, less one prior
+            if likely(z.sum(1) + both) >= likely(z[:, 0]):  # else the metadata view has nothing to add
+                mix, self.bias = np.array([1.0, 1.0]), both
         self.const = float(y.mean()) if len(set(y)) < 2 and len(y) else None
+        self.bias += sum(m * (view.scale * view.bias + view.shift) for m, view in zip(mix, views, strict=True))
+        self.weights = [dict(zip(names[v][view.own].tolist(), (mix[v] * view.scale * view.w).tolist(), strict=True)) for v, view in enumerate(views)]
 
-    def predict(self, text: list[set], meta: list[set]) -> np.ndarray:
+    def predict(self, text: list[np.ndarray], meta: list[np.ndarray]) -> np.ndarray:
+        """Probabilities of documents given as arrays of term hashes."""
         if self.const is not None:
             return np.full(len(text), self.const)
-        return _prob(self.mix[0] * self.views[0].logit(text) + self.mix[1] * self.views[1].logit(meta) + self.bias)
+        out = np.full(len(text), self.bias)
+        for docs, weights in zip((text, meta), self.weights, strict=True):
+            if weights:
+                keys = np.array(sorted(weights), np.uint64)
+                w = np.array([weights[k] for k in keys.tolist()])
+                for i, d in enumerate(docs):
+                    at = np.searchsorted(keys, d)
+                    at[at == len(keys)] = 0
+                    out[i] += w[at[keys[at] == d]].sum()
+        return _prob(out)
+
 
+def _hashed(terms: set[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
 
-def _views(batch) -> tuple[list[set], list[set]]:
+
+def _views(batch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     columns = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
-    return [text_terms(x.as_py()) for x in batch.column("text")], [meta_terms(*r) for r in zip(*columns, strict=True)]
+    return [_hashed(text_terms(x.as_py())) for x in batch.column("text")], [_hashed(meta_terms(*r)) for r in zip(*columns, strict=True)]
+
+
+def _numbered(docs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Documents as arrays of term numbers, for the terms of at least three documents; and those terms' hashes."""
+    every = np.concatenate([np.frombuffer(d, np.uint64) for d in docs]) if docs else np.zeros(0, np.uint64)
+    names, counts = np.unique(every, return_counts=True)
+    names = names[counts >= 3]
+    out = []
+    for d in docs:
+        own = np.frombuffer(d, np.uint64)
+        at = np.searchsorted(names, own)
+        at[at == len(names)] = 0
+        out.append(at[names[at] == own].astype(np.int32) if len(names) else np.zeros(0, np.int32))
+    return out, names
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, CoTrained] | None:
     """Models for both targets; None if no document has a label.
 
     labels: doc_id, quality, toxic. Several labels of one document: its worst. The sample is bounded by `labelled`
-    and `pool` (expected numbers, chosen by hash); its documents are reduced to their distinct terms on the executors.
+    and `pool` (expected numbers, chosen by hash); its documents are reduced to hashes of their distinct terms on the executors.
     """
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"), F.max("toxic").cast("int").alias("toxic"))
@@ -178,29 +212,30 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     narrow = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     first = narrow.join(F.broadcast(known), "doc_id")  # at most about `labelled` rows of three numbers
     rest = narrow.filter(chance(pool, docs.count())).select("*", F.lit(None).cast("int").alias("good"), F.lit(None).cast("int").alias("toxic"))
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("text", T.ArrayType(T.BinaryType())), T.StructField("meta", T.ArrayType(T.BinaryType()))]
-        + [T.StructField(t, T.IntegerType()) for t in TARGETS]
-    )
+    schema = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("text", T.BinaryType()), ("meta", T.BinaryType()), ("good", T.IntegerType()), ("toxic", T.IntegerType()))])
 
     def reduce(batches):
         for b in batches:
-            text, meta = _views(b)
-            arrays = [pa.array([sorted(x) for x in v], pa.list_(pa.binary())) for v in (text, meta)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *arrays, *(b.column(t) for t in TARGETS)], names=schema.names)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                arrays = [pa.array([np.sort(x).tobytes() for x in v], pa.binary()) for v in _views(part)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays, *(part.column(t) for t in TARGETS)], names=schema.names)
 
     columns = ["doc_id", "text", "source", "lang", "n_chars", *TARGETS]
-    got = [(r.doc_id or 0, {bytes(x) for x in r.text}, {bytes(x) for x in r.meta}, r.good, r.toxic) for r in first.select(columns).union(rest.select(columns)).mapInArrow(reduce, schema).collect()]
-    got.sort(key=lambda r: (r[0], sorted(r[2]), len(r[1])))
-    rows, texts = [], set()
+    got = [(r.doc_id or 0, bytes(r.text), bytes(r.meta), r.good, r.toxic) for r in first.select(columns).union(rest.select(columns)).mapInArrow(reduce, schema).collect()]
+    got.sort(key=lambda r: (r[0], r[2], r[1]))
+    rows, others, texts = [], [], set()
     for r in got:  # copies of a text would count as evidence again and again
-        if r[3] is not None and (own := frozenset(r[1])) not in texts:
-            texts.add(own)
+        if r[3] is None:
+            others.append(r)
+        elif r[1] not in texts:
+            texts.add(r[1])
             rows.append(r)
-    others = [(r[1], r[2]) for r in got if r[3] is None]
     if not rows:
         return None
-    return {t: CoTrained([(r[1], r[2], r[3 + k]) for r in rows], others) for k, t in enumerate(TARGETS)}
+    (text, text_names), (meta, meta_names) = (_numbered([r[v] for r in rows + others]) for v in (1, 2))
+    every, y = list(zip(text, meta, strict=True)), np.array([r[3:5] for r in rows])
+    return {t: CoTrained(every[: len(rows)], y[:, k], every[len(rows) :], (text_names, meta_names)) for k, t in enumerate(TARGETS)}
 
 
 def classify(docs: DataFrame, labels: DataFrame, models: dict[str, CoTrained] | None = None) -> DataFrame:
@@ -218,13 +253,15 @@ def classify(docs: DataFrame, labels: DataFrame, models: dict[str, CoTrained] |
     def score(batches):
         models = shared.value
         for b in batches:
-            if models is None:
-                good, toxic = np.ones(b.num_rows), np.zeros(b.num_rows)
-            else:
-                text, meta = _views(b)
-                good, toxic = (models[t].predict(text, meta) for t in TARGETS)
-            keep = (good >= KEEP_GOOD) & (toxic < KEEP_TOXIC)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(good), pa.array(toxic), pa.array(keep)], names=schema.names)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                if models is None:
+                    good, toxic = np.ones(part.num_rows), np.zeros(part.num_rows)
+                else:
+                    text, meta = _views(part)
+                    good, toxic = (models[t].predict(text, meta) for t in TARGETS)
+                keep = (good >= KEEP_GOOD) & (toxic < KEEP_TOXIC)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(good), pa.array(toxic), pa.array(keep)], names=schema.names)
 
     return docs.mapInArrow(score, schema)
 
