@@ -356,8 +356,9 @@ def _without(raw: bytes, gone: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, runs, b"".join(left)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: bool = True) -> DataFrame:
-    """Every column of docs but text, with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (bytes).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: str | None = "bytes") -> DataFrame:
+    """Every column of docs but text, with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept: what is left, as "bytes", as
+    "text" (without the bytes of characters that were cut within), or not at all (None).
 
     Removed is each byte of a text (UTF-8; null: empty) covered by a string of `length` bytes that also starts
     anywhere else in the corpus, the same text and copies of it included; overlaps count, and all is judged on the input.
@@ -379,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: bool = True) ->
     rows = _keyed(docs.drop(*clash))
     names = [c for c in rows.columns if c not in ("text", "raw", "dk")]
     joined = rows.drop("text").join(repeated(docs.select("text"), length), "dk", "left").drop("dk")
-    extra = [*_GONE.fields[:3], T.StructField("kept_sha256", T.StringType())] + ([_GONE["kept"]] if kept else [])
+    extra = [*_GONE.fields[:3], T.StructField("kept_sha256", T.StringType())] + ([T.StructField("kept", T.BinaryType() if kept == "bytes" else T.StringType())] if kept else [])
     schema = T.StructType([*(docs.schema[c] for c in names), *extra])
 
     def run(batches):
@@ -393,15 +394,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: bool = True) ->
                     removed.append(n)
                     runs.append(k)
                     digests.append(hashlib.sha256(rest).hexdigest())
-                    left.append(rest)
-                more = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)] + [pa.array(digests, pa.string())] + ([pa.array(left, pa.binary())] if kept else [])
+                    left.append(rest if kept == "bytes" else rest.decode("utf-8", "ignore") if kept else None)
+                more = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)] + [pa.array(digests, pa.string())] + ([pa.array(left, pa.binary() if kept == "bytes" else pa.string())] if kept else [])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
 def op7_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=False)
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=None)
 
 
 QUERIES = {"op7_deep_shallow_dedup": op7_deep_shallow_dedup}
