@@ -36,9 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes that strings of 400 repeated bytes cover. A character that is cut within goes as a whole."""
     ship(spark)
-    rest = suffixes.remove_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode("kept", "utf-8"), "�", "")).otherwise(F.decode("kept", "utf-8"))
-    return rest.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    rest = suffixes.remove_repeats(docs.select(*COLUMNS), kept="text")
+    return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
