@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import decontaminate, packing, quality, simhash, suffixes
-from quarrylight.llm.common import cut, table
+from quarrylight.llm.common import bounded, cut, table
 from quarrylight.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps, from all labels of the corpus."""
-    ship(spark)
+    ship(bounded(spark))
     return quality.classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(*COLUMNS)
 
 
@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without doc_id take part under an id beyond all others, made from their text. Of rows that share the
     group's smallest id the first in the order of text, lang, source, n_chars stays.
     """
-    ship(spark)
+    ship(bounded(spark))
     beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
     rows = docs.select(*COLUMNS).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), beyond))
     found = simhash.near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text"))
@@ -35,14 +35,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes that strings of 400 repeated bytes cover. A character that is cut within goes as a whole."""
-    ship(spark)
+    ship(bounded(spark))
     rest = suffixes.remove_repeats(docs.select(*COLUMNS), kept="text")
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    ship(spark)
+    ship(bounded(spark))
     keyed = docs.select(*COLUMNS).withColumn("__key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
     hit = decontaminate.decontaminate(keyed.select("__key", "text"), table(spark, sf_dir, "benchmark"))
     return keyed.join(hit.filter("contaminated").select("__key").distinct(), "__key", "left_anti").select(*COLUMNS)
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row a piece, with its ids, sequence and offset."""
-    ship(spark)
+    ship(bounded(spark))
     return packing.pack_documents(docs)
 
 

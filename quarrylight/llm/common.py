@@ -13,6 +13,16 @@ from pyspark.sql import types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held on both sides.
+BATCH_ROWS = "1000"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH_ROWS rows at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, through Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,12 +50,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, order: list[str], out: str, value: str | None = None) -> tuple[DataFrame, int]:
+def running_total(df: DataFrame, order: list[str], out: str, value: str | None = None, then=None) -> tuple[DataFrame, int]:
     """df with column `out`: the sum of `value` (1 a row if None) over all rows before it in `order`; and the sum over all.
 
     Rows are range partitioned and sorted, so no group or tie lands in one task unless its rows agree in every
     order column. The driver receives one number a partition. Ties keep an arbitrary but fixed order, since the
-    sorted rows are cut before they are numbered. Rows come back sorted within partitions.
+    sorted rows are cut before they are numbered. Rows come back sorted within partitions. `then`, a pair of a
+    function from numbered Arrow batches to batches and their schema, runs in the same Python worker.
     """
     spark = df.sparkSession
     part = "__part"
@@ -60,6 +71,9 @@ def running_total(df: DataFrame, order: list[str], out: str, value: str | None =
     schema = T.StructType([f for f in placed.schema.fields if f.name != part] + [T.StructField(out, T.LongType())])
 
     def number(batches):
+        return then[0](numbered(batches)) if then else numbered(batches)
+
+    def numbered(batches):
         seen = 0
         for b in batches:
             if not b.num_rows:
@@ -76,4 +90,4 @@ def running_total(df: DataFrame, order: list[str], out: str, value: str | None =
             keep = [n for n in b.schema.names if n != part]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), own], names=[*keep, out])
 
-    return placed.mapInArrow(number, schema), total
+    return placed.mapInArrow(number, then[1] if then else schema), total

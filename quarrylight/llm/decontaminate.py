@@ -114,8 +114,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
     Null, empty and wordless texts have no words and no hits. Null texts and wordless items have no windows; an item
     without an id is nobody's hit, though its windows count as hit words. Repeated rows and ids each keep their row.
-    Items that share a window all count. Empty documents give an empty result, an empty benchmark no hits.
+    Items that share a window all count. Columns of docs with
+    the names of results are replaced. Empty documents give an empty result, an empty benchmark no hits.
     """
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")
     found = hits(docs, items, width).withColumn("n_hit", hit_words())
     return found.select(
         *[c for c in docs.columns if c != "text"],

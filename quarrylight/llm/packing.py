@@ -144,8 +144,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     piece finds its place by its rank among pieces of its length, from one range-partitioned running count; a length
     that a third of all pieces share spreads over tasks by doc_id and piece.
     """
-    ranked, _ = running_total(pieces, ["length", "doc_id", "piece"], "__pos")
-    counts = {int(r[0]): int(r[1]) for r in ranked.groupBy("length").agg(F.count(F.lit(1))).collect()}
+    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
     places, _ = plan(counts, capacity)
     before, first = 0, {}
     for n in sorted(counts):
@@ -165,7 +164,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*(b.column(c) for c in names), pa.array(bins[k] + bin_, pa.int64()), pa.array(offsets[k] + slot * n, pa.int64())], names=schema.names
             )
 
-    return ranked.mapInArrow(place, schema)
+    return running_total(pieces, ["length", "doc_id", "piece"], "__pos", then=(place, schema))[0]
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, payload: str = "ids") -> DataFrame:

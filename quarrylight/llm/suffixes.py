@@ -292,21 +292,21 @@ def _resolve(classes: DataFrame, length: int) -> DataFrame:
     shared string each, which parts the group or makes contexts equal; at the latest a range of one window does.
     """
     classes = cut(classes)
-    sizes = classes.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     if not sizes.filter(F.col("size") > GROUP).limit(1).count():
         return _compare(classes, length)
     sized = classes.join(sizes, "key")
     small = _compare(sized.filter(F.col("size") <= GROUP).drop("size"), length)
     ranges = cut(_split(sized.filter(F.col("size") > GROUP).drop("size"), length))
     keys = ranges.groupBy("key").agg(F.sum("n").alias("copies"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).filter("copies > 1")
-    shared = cut(ranges.join(keys, "key"))
+    shared = cut(ranges.join(cut(keys), "key"))
     alike = shared.filter("least = most").select("of_key", "of_ctx", _whole().alias("spans"))
     open_ = shared.filter("least <> most")
     kept = open_.groupBy("key", "ctx").agg(
         F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "lo", "hi", "body")]
     )
     kept = cut(kept.select(*_CLASS.names))
-    found = _resolve(kept, length)
+    found = cut(_resolve(kept, length))
     several = kept.filter("n > 1").select("key", "ctx", _whole().alias("spans"))
     inner = open_.select("of_key", "of_ctx", "key", "ctx").join(found.union(several), ["key", "ctx"]).select("of_key", "of_ctx", "spans")
     big = alike.union(inner).groupBy("of_key", "of_ctx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -323,14 +323,15 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = _keyed(docs).select("dk", "raw")
     anchors = _anchors(texts, length)
     keys = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
-    shared = cut(anchors.join(keys.filter("copies > 1"), "key").select(*_ANCHOR.names, (F.col("least") != F.col("most")).alias("open")))
+    keys = cut(keys.filter("copies > 1"))  # by itself, so that Spark may split the anchors of a frequent key in the join
+    shared = cut(anchors.join(keys, "key").select(*_ANCHOR.names, (F.col("least") != F.col("most")).alias("open")))
     open_ = shared.filter("open")
     kinds = open_.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dk", "pos", "low", "high")).alias("one"))
     kinds = cut(kinds.select("key", "ctx", "n", "one.*"))
     unique = texts.filter(F.octet_length("raw") >= length).groupBy("dk").agg(F.first("raw").alias("raw"))
     body = F.expr(f"substring(raw, cast(pos - high + 1 as int), high - low + {length})")
     classes = kinds.join(unique, "dk").select("key", "ctx", "n", "low", "high", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), body.alias("body"))
-    found = _resolve(classes, length)
+    found = cut(_resolve(classes, length))
     several = kinds.filter("n > 1").select("key", "ctx", _whole().alias("spans"))
     part = open_.join(found.union(several), ["key", "ctx"]).select("dk", "pos", F.explode("spans").alias("s")).select("dk", "pos", F.col("s.lo").alias("low"), F.col("s.hi").alias("high"))
     every = shared.filter("not open").select("dk", "pos", "low", "high").union(part)

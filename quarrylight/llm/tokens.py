@@ -33,8 +33,11 @@ def encoder(path: str):
     """
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
+    @functools.cache
+    def slow():  # tens of MB that most workers never need
+        return Tokenizer.from_file(path)
+
+    plain = lambda text: slow().encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
