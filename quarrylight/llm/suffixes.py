@@ -285,6 +285,16 @@ def _whole() -> F.Column:
     return F.array(F.struct(F.col("low").alias("lo"), F.col("high").alias("hi")))
 
 
+def _merged(spans: F.Column) -> F.Column:
+    """Ranges of windows in order, overlapping and neighbouring ones as one."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    more = lambda acc, s: F.when(
+        s["lo"] <= last(acc)["hi"] + 1,
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], s["hi"]).alias("hi")))),
+    ).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.sort_array(spans), F.expr("cast(array() as array<struct<lo:int,hi:int>>)"), more)
+
+
 def _resolve(classes: DataFrame, length: int) -> DataFrame:
     """Shared windows (key, ctx, spans) of contexts (columns of _CLASS) that are alone in having all their windows but share their key.
 
@@ -309,7 +319,7 @@ def _resolve(classes: DataFrame, length: int) -> DataFrame:
     found = cut(_resolve(kept, length))
     several = kept.filter("n > 1").select("key", "ctx", _whole().alias("spans"))
     inner = open_.select("of_key", "of_ctx", "key", "ctx").join(found.union(several), ["key", "ctx"]).select("of_key", "of_ctx", "spans")
-    big = alike.union(inner).groupBy("of_key", "of_ctx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    big = alike.union(inner).groupBy("of_key", "of_ctx").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
     return small.union(big.select(F.col("of_key").alias("key"), F.col("of_ctx").alias("ctx"), "spans"))
 
 
