@@ -19,17 +19,14 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest doc_id.
+    """One document of each group that texts of five-word Jaccard similarity 0.8 or more link: the one with the smallest doc_id.
 
-    Rows without doc_id take part under an id beyond all others, made from their text. Of rows that share the
-    group's smallest id the first in the order of text, lang, source, n_chars stays.
+    Rows without doc_id come after all others. Of rows that share the group's smallest id the first in the order of text, lang,
+    source, n_chars stays. A row belongs to its own text's group only, whatever other rows have its doc_id.
     """
     ship(bounded(spark))
-    beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    rows = docs.select(*COLUMNS).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), beyond))
-    found = simhash.near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text"))
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = rows.join(first, "__id").groupBy("__id").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("row"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first"), *[c for c in COLUMNS if c != "doc_id"], "doc_id")
+    kept = simhash.near_copies(docs.select(*COLUMNS)).groupBy("group").agg(F.min(row).alias("row"))
     return kept.select(*[f"row.{c}" for c in COLUMNS])
 
 

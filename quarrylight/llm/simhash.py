@@ -29,16 +29,19 @@ def _hashes(words: list[bytes], k: int) -> list[int]:
 
 def fingerprints_of(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
     """SimHash of each text: a bit is 1 if it is set in over half the hashes of the text's word shingles, repeats included."""
-    out = np.zeros(len(texts), dtype="<u8")
-    for i, text in enumerate(texts):
-        found = _hashes((text or "").encode().lower().split(), k)  # bytes: only A-Z, only ASCII spaces
-        ones, n = np.zeros(64, np.int64), len(found)
-        for j in range(0, n, 65536):
-            h = np.array(found[j : j + 65536], dtype="<u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        if n:
-            out[i] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
-    return out
+    return np.array([_simhash(shingles_of(text, k)) for text in texts], dtype="<u8")
+
+
+def shingles_of(text: str | None, k: int) -> np.ndarray:
+    """Hashes of the text's word shingles, repeats included; a text of fewer words has one."""
+    return np.array(_hashes((text or "").encode().lower().split(), k), dtype="<u8")  # bytes: only A-Z, only ASCII spaces
+
+
+def _simhash(found: np.ndarray) -> int:
+    ones, n = np.zeros(64, np.int64), len(found)
+    for j in range(0, n, 65536):
+        ones += np.unpackbits(found[j : j + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprint(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -178,8 +181,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     doc_id are one document to the links. A row without doc_id has a fingerprint and takes the component of its equals; where
     they have no doc_id either, the component is null. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prints = cut(fingerprint(docs, k))
+    return _linked(cut(fingerprint(docs, k)), radius)
+
+
+def _linked(prints: DataFrame, radius: int) -> DataFrame:
+    """Steps 2 to 4 of near_duplicates, over doc_id and fp."""
+    spark = prints.sparkSession
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")))
     linked = points.filter("rep is not null")
     total = linked.count()
@@ -213,6 +220,166 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near copies by similarity ---------------------------------------------------------------------------------------
+
+#: Near copies share 4 of 5 of all their distinct shingles of WORDS words. Comparisons are of whole numbers: 5 both >= 4 all.
+WORDS = 5
+#: About so many documents tell which shingles are frequent; those, COMMON at most, come last in the order of shingles.
+SURVEYED, COMMON = 8000, 10_000
+#: Bits of a set's parity bitmap at least, a power of two; larger sets have as many as shingles, or up to twice. They fold onto fewer.
+BITS = 1024
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of 0.8 or more; two empty sets have."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (sorted) of which alike sets share one: n - ceil(0.8 n) + 1, common ones last.
+
+    Alike sets share 0.8 of each set's shingles at least, and so the least shared one, in any order, is among them.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    at = np.searchsorted(common, shingles)
+    at[at == len(common)] = 0
+    late = np.where(common[at] == shingles, rank[at], 0) if len(common) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, late))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some documents hold, sorted, and their counts. They set an order, so what is missed costs time only."""
+    every = max(1, docs.count() // SURVEYED)
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingles_of(x.as_py(), WORDS)) for x in b.column("text")]
+            for i in range(0, len(found), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[i : i + 64]).view(np.int64))], names=["s"])
+
+    some = docs.select("text").filter(F.pmod(F.xxhash64(F.reverse("text")), F.lit(every)) == 0)
+    counts = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n >= 8")
+    rows = sorted((np.uint64(r.s & (1 << 64) - 1), r.n) for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+
+
+def _possible(n, m, a, b):
+    """Whether sets of n and m shingles with parity bitmaps a and b may be alike: every shingle that only one has flips at most one bit."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= n + m)
+
+
+def _bitmap(own: np.ndarray) -> bytes:
+    size = max(BITS, 1 << len(own).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def _folded(bits: bytes, size: int = BITS // 8) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _bitmaps(column) -> np.ndarray:
+    return np.array([_folded(x) for x in column.to_pylist()], np.uint64).reshape(-1, BITS // 64)
+
+
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs of nodes (a, b) whose texts are alike, as an edge table."""
+    ends = lambda df, c, x: df.select(F.col("node").alias(c), *[F.col(n).alias(n + x) for n in df.columns if n != "node"])
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    measured = pairs.join(ends(sets, "a", "_a"), "a").join(ends(sets, "b", "_b"), "b")
+
+    def sift(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+            own = _possible(n, m, _bitmaps(b.column("bits_a")), _bitmaps(b.column("bits_b")))
+            for i in np.flatnonzero(own & (np.minimum(n, m) > BITS)):
+                x, y = b.column("bits_a")[i].as_py(), b.column("bits_b")[i].as_py()
+                own[i] = _possible(n[i], m[i], *(_folded(z, min(len(x), len(y))) for z in (x, y)))
+            yield b.select(["a", "b"]).filter(pa.array(own))
+
+    left = cut(measured.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sift, _PAIR))
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    bodies = cut(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+
+    def judge(batches):
+        for b in batches:
+            one = [np.unique(shingles_of(x.as_py(), WORDS)) for x in b.column("text_a")]
+            two = (np.unique(shingles_of(x.as_py(), WORDS)) for x in b.column("text_b"))
+            yield b.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(one, two, strict=True)], pa.bool_()))
+
+    return cut(left.join(ends(bodies, "a", "_a"), "a").join(ends(bodies, "b", "_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(judge, _PAIR))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """docs with group (long): rows of one group are linked by texts whose Jaccard similarity over word shingles (WORDS) is 0.8 or more.
+
+    1. Texts with the same set of shingles are one node. Fingerprints of all, over the same shingles, are linked through vantage-point
+       trees at RADIUS bits; each linked node is a candidate with the first of its component.
+    2. No radius that parts a tree reaches down to 0.8 (such pairs differ in 10 bits on average), so every node is also listed under the
+       shingles of its prefix: alike sets share one. First the nodes under a shingle are candidates with its least and
+       greatest node, so large groups of copies become one component in as many pairs as nodes (and up to three
+       nodes are done); then with all nodes under it in other components.
+    3. Candidates that sizes and parity bitmaps allow are compared on their whole texts; only alike ones link.
+
+    No pair of alike texts is missed, up to equal 64-bit digests. Columns called node, fp, n, bits, prefix or group must not be in docs.
+    """
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(_frequent(docs))
+    extra = [T.StructField(c, t) for c, t in (("node", T.LongType()), ("fp", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()), ("prefix", T.ArrayType(T.LongType())))]
+    schema = T.StructType([*docs.schema.fields, *extra])
+
+    def run(batches):
+        for b in batches:
+            nodes, fps, sizes, bits, firsts = [], [], [], [], []
+            for x in b.column("text"):
+                every = shingles_of(x.as_py(), WORDS)
+                own = np.unique(every)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                fps.append(_simhash(every))
+                sizes.append(len(own))
+                bits.append(_bitmap(own))
+                firsts.append(prefix(own, *common.value).view(np.int64))
+            more = [pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
+
+    rows = cut(docs.mapInArrow(run, schema))
+    sets = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    listed = sets.select("node", "n", F.explode("prefix").alias("s"))
+    end = F.struct("node", "n")
+    ends = cut(listed.groupBy("s").agg(F.min(end).alias("least"), F.max(end).alias("most"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    listed, sets = cut(listed.join(ends, "s")), sets.select("node", "n", "bits")
+    trees = _linked(rows.select(F.col("node").alias("doc_id"), "fp"), RADIUS).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    near = lambda c: listed.filter(5 * F.least("n", f"{c}.n") >= 4 * F.greatest("n", f"{c}.n")).select(F.col("node").alias("a"), F.col(f"{c}.node").alias("b"))
+    stars = near("least").union(near("most"))
+    links = _verified(trees.union(stars), sets, rows)
+
+    found = components(links)
+    placed = listed.filter("held > 3").select("s", "node").join(found, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("s")
+    open_ = placed.join(cut(several), "s").join(sets, "node")
+
+    def meet(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("n")
+        node, root, n = (batch.column(c).to_numpy() for c in ("node", "root", "n"))
+        bits, out = _bitmaps(batch.column("bits")), [np.zeros((0, 2), np.int64)]
+        for i in range(len(node) - 1):  # sizes rise: those beyond 1.25 n are no candidates
+            upto = np.searchsorted(n, 5 * n[i] // 4, "right")
+            own = (root[i + 1 : upto] != root[i]) & _possible(n[i], n[i + 1 : upto], bits[i], bits[i + 1 : upto])
+            other = node[i + 1 : upto][own]
+            out.append(np.stack([np.full(len(other), node[i]), other], 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    rest = cut(open_.groupBy("s").applyInArrow(meet, _PAIR))
+    found = components(links.union(_verified(rest, sets, rows)))
+    return rows.drop("fp", "n", "bits", "prefix").join(found, "node", "left").select(*docs.columns, F.coalesce("root", "node").alias("group"))
+
+
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

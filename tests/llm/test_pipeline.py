@@ -79,3 +79,41 @@ def test_stages(spark, sf_dir):
     key = lambda rows: Counter((r.doc_id, r.piece, r.start, tuple(r.ids)) for r in rows)
     assert key(whole.collect()) == key(packed)
     assert np.all([r.length <= 1024 for r in packed])
+
+
+def brute_groups(texts):
+    """The least position that pairs of texts with a five-word Jaccard similarity of 0.8 or more reach."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_copies(spark):
+    rnd = random.Random(8)
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    line = words(rnd, 12)
+    for n in (8, 30, 60, 150, 400):
+        for _ in range(6):
+            base = words(rnd, n).split()
+            texts.append(" ".join(base))
+            for _ in range(rnd.randrange(5)):  # chains of edits, around 0.8
+                for _ in range(max(1, rnd.randrange(n // 20 + 2))):
+                    base[rnd.randrange(len(base))] = "new" + words(rnd, 1)
+                texts.append(" ".join(base) + (" " + line) * rnd.randrange(2))
+    hot = words(rnd, 80).split()
+    texts += [" ".join([*hot[:i], f"x{i}", *hot[i:]]) for i in range(40)] + [words(rnd, 20) + " " + line for _ in range(30)]
+    rnd.shuffle(texts)
+    want = brute_groups(texts)
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = rows_of(corpus_pipeline.drop_near_duplicates(spark, df, ""))
+    assert sorted(got, key=lambda r: r[0]) == [rows[i] for i in sorted(set(want))]
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").collect() == []
