@@ -11,6 +11,9 @@ from quarrylight.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: A passage of so many words goes where it also starts elsewhere.
+WORDS = 51
+
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps, from all labels of the corpus."""
@@ -31,9 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes that strings of 400 repeated bytes cover. A character that is cut within goes as a whole."""
+    """Texts without passages of over 50 words, or of 400 bytes, that also start elsewhere. A character that is cut within goes as a whole."""
     ship(bounded(spark))
-    rest = suffixes.remove_repeats(docs.select(*COLUMNS), kept="text")
+    rest = suffixes.remove_repeats(docs.select(*COLUMNS), kept="text", words=WORDS)
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 

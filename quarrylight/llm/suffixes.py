@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -330,7 +331,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """dk (16-byte digest of a text) and gone (byte ranges to remove, as structs of start and end), for texts that have any."""
-    texts = _keyed(docs).select("dk", "raw")
+    return _repeated(_keyed(docs).select("dk", "raw"), length)
+
+
+def repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """dk and gone_words (ranges of words to remove, from start up to end), for texts with a run of `words` words that also starts elsewhere.
+
+    A word is what ASCII white space parts. Every text is written as the 8-byte hashes of its words, and strings of so many hashes
+    are sought in that. One that starts within a hash adds parts of words at most, which the ranges leave out.
+    """
+    schema = T.StructType([T.StructField("dk", T.BinaryType()), T.StructField("raw", T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                hashed = [b"".join([xxhash.xxh64_digest(w) for w in raw.split()]) for raw in part.column("raw").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("dk"), pa.array(hashed, pa.binary())], names=schema.names)
+
+    hashed = _keyed(docs).select("dk", "raw").mapInArrow(run, schema)
+    return _repeated(hashed, 8 * words).withColumnRenamed("gone", "gone_words")
+
+
+def _word_ranges(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges of whole words, from ranges in the hashes of a text's words."""
+    merged: list[list[int]] = []
+    for start, end in sorted(gone):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([start, end])
+    at = [m.span() for m in re.finditer(rb"\S+", raw)] if merged else []
+    whole = [(-(-start // 8), end // 8) for start, end in merged]
+    return [(at[a][0], at[z - 1][1]) for a, z in whole if a < z]
+
+
+def _repeated(texts: DataFrame, length: int) -> DataFrame:
     anchors = _anchors(texts, length)
     keys = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
     keys = cut(keys.filter("copies > 1"))  # by itself, so that Spark may split the anchors of a frequent key in the join
@@ -367,12 +403,13 @@ def _without(raw: bytes, gone: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, runs, b"".join(left)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: str | None = "bytes") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: str | None = "bytes", words: int | None = None) -> DataFrame:
     """Every column of docs but text, with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept: what is left, as "bytes", as
     "text" (without the bytes of characters that were cut within), or not at all (None).
 
     Removed is each byte of a text (UTF-8; null: empty) covered by a string of `length` bytes that also starts
     anywhere else in the corpus, the same text and copies of it included; overlaps count, and all is judged on the input.
+    With `words`, so is each run of that many words, whatever its bytes and the white space within.
 
     1. Each window of `length` bytes has one anchor, the run of GRAM bytes with the least hash, so equal windows meet
        under equal anchors. An anchor's windows make up its context.
@@ -387,10 +424,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: str | None = "by
     than `length` keep everything. Repeated rows are copies and lose all their windows. Columns of docs with the names of results
     are replaced. Empty tables give an empty result.
     """
-    clash = [c for c in docs.columns if c in (*_GONE.names, "kept_sha256", "dk", "raw", "gone")]
+    clash = [c for c in docs.columns if c in (*_GONE.names, "kept_sha256", "dk", "raw", "gone", "gone_words")]
     rows = _keyed(docs.drop(*clash))
     names = [c for c in rows.columns if c not in ("text", "raw", "dk")]
-    joined = rows.drop("text").join(repeated(docs.select("text"), length), "dk", "left").drop("dk")
+    joined = rows.drop("text").join(repeated(docs.select("text"), length), "dk", "left")
+    joined = (joined.join(repeated_words(docs.select("text"), words), "dk", "left") if words else joined).drop("dk")
     extra = [*_GONE.fields[:3], T.StructField("kept_sha256", T.StringType())] + ([T.StructField("kept", T.BinaryType() if kept == "bytes" else T.StringType())] if kept else [])
     schema = T.StructType([*(docs.schema[c] for c in names), *extra])
 
@@ -399,8 +437,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kept: str | None = "by
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 sizes, removed, runs, digests, left = [], [], [], [], []
-                for raw, gone in zip(part.column("raw").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    n, k, rest = _without(raw, [(g["start"], g["end"]) for g in gone or ()])
+                runs_of = lambda c: [[(g["start"], g["end"]) for g in x or ()] for x in part.column(c).to_pylist()]  # noqa: B023, E731
+                of_words = runs_of("gone_words") if words else [[]] * part.num_rows
+                for raw, gone, more in zip(part.column("raw").to_pylist(), runs_of("gone"), of_words, strict=True):
+                    n, k, rest = _without(raw, gone + _word_ranges(raw, more))
                     sizes.append(len(raw))
                     removed.append(n)
                     runs.append(k)

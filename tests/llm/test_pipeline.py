@@ -117,3 +117,24 @@ def test_near_copies(spark):
     got = rows_of(corpus_pipeline.drop_near_duplicates(spark, df, ""))
     assert sorted(got, key=lambda r: r[0]) == [rows[i] for i in sorted(set(want))]
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").collect() == []
+
+
+def test_repeated_passages(spark):
+    rnd = random.Random(9)
+    long = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(3, 7))) for _ in range(n))
+    passage, short, wide, bytes_only = long(55), long(50), long(68), "x".join(long(90).split())
+    assert 250 < len(passage) < 330 and len(wide) < 395 and len(bytes_only) > 400
+    own = [(long(30), long(30)) for _ in range(12)]
+    middle = [passage, passage, passage.replace(" ", "\n"), short, short, wide, wide, long(20) + " " + " ".join(wide.split()[10:65]), bytes_only, bytes_only, "é" + passage, ""]
+    texts = [f"{a} {m} {b}" for (a, b), m in zip(own, middle, strict=True)] + [None, "", short]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    got = {r[0]: r[1] for r in rows_of(corpus_pipeline.cut_repeats(spark, df, ""))}
+    split = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    for i, w in enumerate(split):
+        gone = {j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(k, k + 51)}
+        if i not in (8, 9):
+            assert got[i].split() == [x for j, x in enumerate(w) if j not in gone]
+            assert gone or got[i] == (texts[i] or "")
+    assert all(got[i].split() == f"{own[i][0]} {own[i][1]}".split() for i in (0, 1, 2)) and got[3] == texts[3]
+    assert all(len(got[i]) < len(texts[i]) - 400 for i in (8, 9))
