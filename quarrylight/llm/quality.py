@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import table
 
+log = logging.getLogger(__name__)
+
 #: About so many labelled and so many further documents are learned from, chosen by a hash of doc_id.
 LABELLED, POOL = 5000, 3000
 ROUNDS, EXCHANGED = 3, 0.02
@@ -121,13 +124,30 @@ class View:
         return self
 
 
+def _combined(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of 0 or more for the columns of calibrated logits z, and a constant, that make y most likely; slightly drawn to 1 each."""
+    x, pull = np.column_stack([z, np.ones(len(z))]), np.array([1e-2] * z.shape[1] + [0.0])
+    to = np.append(np.ones(z.shape[1]), 0.0)
+    at, step = np.append(np.ones(z.shape[1]), -math.log(y.mean() / (1 - y.mean()))), 1 / (0.25 * np.linalg.eigvalsh(x.T @ x / len(x))[-1] + 1e-2)
+    ahead, t = at, 1.0
+    for _ in range(2000):  # accelerated projected gradient: the loss is convex, the bound a box
+        new = ahead - step * (x.T @ (_prob(x @ ahead) - y) / len(x) + pull * (ahead - to))
+        new[:-1] = np.maximum(new[:-1], 0.0)
+        t, back = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, at = new + (back - 1) / t * (new - at), new
+    return at[:-1], float(at[-1])
+
+
 class CoTrained:
     """Both views of one target as weights by term hash, and how their calibrated logits combine."""
 
     def __init__(self, rows: list[tuple], y: np.ndarray, pool: list[tuple], names: tuple[np.ndarray, np.ndarray]):
         """rows and pool: documents as (text, meta) arrays of term numbers; names: the terms' hashes in either view."""
         y = y.astype(float)
-        fold = np.arange(len(rows)) % 5 == 0
+        fold = np.zeros(len(rows), bool)
+        for label in (0, 1):  # about a fifth of either class; a class of one is learned from
+            own = np.flatnonzero(y == label)
+            fold[own[::5]] = len(own) > 1
         learn, held = np.flatnonzero(~fold), np.flatnonzero(fold)
         sets = [([rows[i][v] for i in learn], list(y[learn])) for v in (0, 1)]
         fitted = lambda v: View(len(names[v])).fit(sets[v][0], np.array(sets[v][1]))
@@ -146,19 +166,16 @@ class CoTrained:
                             sets[1 - v][1].append(label)
                             left[at[k]] = False
         views = [fitted(v) for v in (0, 1)]
-        mix, self.bias = np.array([1.0, 0.0]), 0.0
+        share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
+        self.mix, self.bias = np.ones(2), -math.log(share / (1 - share))  # independent views: logits add, less one prior
         if len(set(y[held])) == 2:
             for v, view in enumerate(views):
                 view.calibrate([rows[i][v] for i in held], y[held])
-            share = y[held].mean()
             z = np.stack([view.logit([rows[i][v] for i in held]) for v, view in enumerate(views)], 1)
-            likely = lambda logit: np.log(_prob(np.where(y[held] == 1, 1, -1) * logit)).mean()
-            both = -math.log(share / (1 - share))  # independent views: logits add, less one prior
-            if likely(z.sum(1) + both) >= likely(z[:, 0]):  # else the metadata view has nothing to add
-                mix, self.bias = np.array([1.0, 1.0]), both
+            self.mix, self.bias = _combined(z, y[held])
         self.const = float(y.mean()) if len(set(y)) < 2 and len(y) else None
-        self.bias += sum(m * (view.scale * view.bias + view.shift) for m, view in zip(mix, views, strict=True))
-        self.weights = [dict(zip(names[v][view.own].tolist(), (mix[v] * view.scale * view.w).tolist(), strict=True)) for v, view in enumerate(views)]
+        self.bias += sum(m * (view.scale * view.bias + view.shift) for m, view in zip(self.mix, views, strict=True))
+        self.weights = [dict(zip(names[v][view.own].tolist(), (self.mix[v] * view.scale * view.w).tolist(), strict=True)) for v, view in enumerate(views)]
 
     def predict(self, text: list[np.ndarray], meta: list[np.ndarray]) -> np.ndarray:
         """Probabilities of documents given as arrays of term hashes."""
@@ -235,7 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return None
     (text, text_names), (meta, meta_names) = (_numbered([r[v] for r in rows + others]) for v in (1, 2))
     every, y = list(zip(text, meta, strict=True)), np.array([r[3:5] for r in rows])
-    return {t: CoTrained(every[: len(rows)], y[:, k], every[len(rows) :], (text_names, meta_names)) for k, t in enumerate(TARGETS)}
+    models = {t: CoTrained(every[: len(rows)], y[:, k], every[len(rows) :], (text_names, meta_names)) for k, t in enumerate(TARGETS)}
+    for t, model in models.items():
+        log.info("%s: weight of the text view %.3f, of the metadata view %.3f", t, *model.mix)
+    return models
 
 
 def classify(docs: DataFrame, labels: DataFrame, models: dict[str, CoTrained] | None = None) -> DataFrame:

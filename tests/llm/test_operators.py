@@ -401,6 +401,28 @@ def test_quality(spark):
     assert quality.classify(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() == []
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_both_views_count(rare):
+    rnd, names = random.Random(4), (np.arange(40, dtype=np.uint64), np.arange(6, dtype=np.uint64))
+    y = np.array([int(i % 25 == 3 if rare else i % 2) for i in range(200)])  # rare: no fifth row is positive
+    rows = [(np.array(rnd.sample(range(40), 8), np.int32), np.array([k if rnd.random() < 0.9 else 1 - k, 2 + i % 4], np.int32)) for i, k in enumerate(y.tolist())]
+    model = quality.CoTrained(rows, y, [], names)  # the words tell nothing, the metadata much
+    assert (model.mix >= 0).all() and model.mix[1] > 0 and any(model.weights[1].values())
+    p = model.predict([np.zeros(0, np.uint64)] * 2, [np.array([k], np.uint64) for k in (0, 1)])
+    assert p[1] > p[0] + 0.1
+
+
+@pytest.mark.parametrize("signal", [1, 0])
+def test_weights_of_views(signal):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 400)
+    z = np.stack([(2 * y - 1) + rng.normal(size=400), -(2 * y - 1) * (1 - signal) + signal * (2 * y - 1) + rng.normal(size=400)], 1)
+    mix, bias = quality._combined(z, y)
+    loss = lambda m, c: np.log1p(np.exp(-(2 * y - 1) * (z @ m + c))).mean() + 5e-3 * ((np.asarray(m) - 1) ** 2).sum()
+    around = [loss(np.maximum(mix + [a, b], 0), bias + c) for a in (-0.02, 0, 0.02) for b in (-0.02, 0, 0.02) for c in (-0.02, 0, 0.02)]
+    assert loss(mix, bias) <= min(around) + 1e-9 and mix[0] > 0.5 and (mix[1] > 0.5 if signal else mix[1] == 0)
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
