@@ -100,7 +100,7 @@ def test_near_copies(spark):
     rnd = random.Random(8)
     texts = [None, "", " \n", "one two", "One  two", "one two three"]
     line = words(rnd, 12)
-    for n in (8, 30, 60, 150, 400):
+    for n in (8, 30, 60, 150, 400, 3000):
         for _ in range(6):
             base = words(rnd, n).split()
             texts.append(" ".join(base))
@@ -138,3 +138,12 @@ def test_repeated_passages(spark):
             assert gone or got[i] == (texts[i] or "")
     assert all(got[i].split() == f"{own[i][0]} {own[i][1]}".split() for i in (0, 1, 2)) and got[3] == texts[3]
     assert all(len(got[i]) < len(texts[i]) - 400 for i in (8, 9))
+
+
+def test_rows_that_share_an_id(spark):
+    rnd = random.Random(6)
+    a, b = words(rnd, 60), words(rnd, 60)
+    rows = [(3, a), (5, a + " x"), (5, b), (7, None), (7, words(rnd, 40)), (8, b), (5, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = Counter((r[0], r[1]) for r in rows_of(corpus_pipeline.drop_near_duplicates(spark, df, "")))
+    assert got == Counter([rows[0], rows[2], rows[3], rows[4]])
