@@ -6,9 +6,9 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from test_operators import brute_components, brute_hits, brute_removed, words
+from test_operators import brute_hits, brute_removed, words
 
-from quarrylight.llm import simhash, tokens
+from quarrylight.llm import tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,15 +56,18 @@ def test_stages(spark, sf_dir):
 
     docs = through(stages[1], docs)
     one = rows_of(docs)
-    ids = [r[0] if r[0] is not None else 10**9 + hash(r[1]) % 10**8 for r in kept]
-    groups = brute_components(ids, simhash.fingerprints_of([r[1] for r in kept]))
-    assert len(one) == len(set(groups)) and {r[0] for r in one} - {None} == {g for g in groups if g < 10**9} and Counter(one) <= Counter(kept)
+    groups = {}
+    for r, g in zip(kept, brute_groups([r[1] for r in kept]), strict=True):
+        groups.setdefault(g, []).append(r)
+    assert Counter(one) <= Counter(kept) and Counter(r[0] for r in one) == Counter(min((r[0] for r in g), key=lambda i: (i is None, i)) for g in groups.values())
 
     docs = through(stages[2], docs)
     cut = {r[0]: r for r in rows_of(docs)}
-    for r, want in zip(one, brute_removed([(r[1] or "").encode() for r in one]), strict=True):
-        text = cut[r[0]][1]
-        assert (text == (r[1] or "")) == (want[1] == 0) and len(text.encode()) <= want[0] - want[1] and cut[r[0]][4] == len(text)
+    split = [(r[1] or "").split() for r in one]
+    seen = Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    for r, w, want in zip(one, split, brute_removed([(r[1] or "").encode() for r in one]), strict=True):
+        text, passage = cut[r[0]][1], any(seen[tuple(w[i : i + 51])] > 1 for i in range(len(w) - 50))
+        assert (text == (r[1] or "")) == (want[1] == 0 and not passage) and len(text.encode()) <= want[0] - want[1] and cut[r[0]][4] == len(text)
     assert {330, 331, 332} <= {i for i in cut if len(cut[i][1]) < 500}
 
     docs = through(stages[3], docs)
