@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import decontaminate, packing, quality, simhash, suffixes
-from quarrylight.llm.common import bounded, cut, table
+from quarrylight.llm.common import bounded, cut, stored, table
 from quarrylight.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A passage of so many words goes where it also starts elsewhere.
-WORDS = 51
-
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps, from all labels of the corpus."""
@@ -24,19 +21,21 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that texts of five-word Jaccard similarity 0.8 or more link: the one with the smallest doc_id.
 
-    Rows without doc_id come after all others. Of rows that share the group's smallest id the first in the order of text, lang,
+    Rows without doc_id come after all others. Of rows that share the group's smallest id the first in the order of the text's digest, lang,
     source, n_chars stays. A row belongs to its own text's group only, whatever other rows have its doc_id.
     """
     ship(bounded(spark))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first"), *[c for c in COLUMNS if c != "doc_id"], "doc_id")
-    kept = simhash.near_copies(docs.select(*COLUMNS)).groupBy("group").agg(F.min(row).alias("row"))
-    return kept.select(*[f"row.{c}" for c in COLUMNS])
+    rows = simhash.near_copies(docs.select(*COLUMNS))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars", "row")
+    one = rows.groupBy("group").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.col("one.row").alias("kept"))
+    gone = stored(rows.select("group", "row").join(one, "group").filter("row <> kept").select("row"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of over 50 words, or of 400 bytes, that also start elsewhere. A character that is cut within goes as a whole."""
     ship(bounded(spark))
-    rest = suffixes.remove_repeats(docs.select(*COLUMNS), kept="text", words=WORDS)
+    rest = suffixes.remove_repeats(docs.select(*COLUMNS), kept="text", words=suffixes.PASSAGE)
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import cut, shuffle_partitions, table
+from quarrylight.llm.common import cut, dropped, shuffle_partitions, stored, table
 from quarrylight.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -186,9 +186,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 
 def _linked(prints: DataFrame, radius: int) -> DataFrame:
     """Steps 2 to 4 of near_duplicates, over doc_id and fp."""
-    spark = prints.sparkSession
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")))
-    linked = points.filter("rep is not null")
+    roots = components(_forest(points.filter("rep is not null"), radius))
+    known = points.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def _forest(linked: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that span the links among distinct fingerprints (fp, rep), at most one for each point of a shard."""
+    spark = linked.sparkSession
     total = linked.count()
     share = 1.0 if total <= SAMPLE else SAMPLE / total
     least = np.iinfo(np.int64).min
@@ -213,11 +220,7 @@ def _linked(prints: DataFrame, radius: int) -> DataFrame:
         return pa.table({"a": pa.array(rep[own]), "b": pa.array(rep[root[own]])})
 
     shards = linked.select("fp", "rep").mapInArrow(deal, dealt).repartition(max(shuffle_partitions(spark), min(4096, len(nodes) + 1)), "leaf")
-    edges = cut(shards.groupBy("leaf").applyInArrow(join, forest))
-    roots = components(edges)
-    known = points.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    return cut(shards.groupBy("leaf").applyInArrow(join, forest))
 
 
 # --- near copies by similarity ---------------------------------------------------------------------------------------
@@ -226,6 +229,8 @@ def _linked(prints: DataFrame, radius: int) -> DataFrame:
 WORDS = 5
 #: About so many documents tell which shingles are frequent; those, COMMON at most, come last in the order of shingles.
 SURVEYED, COMMON = 8000, 10_000
+#: Sets of an open shingle that one task compares with as many others.
+BLOCK = 4096
 #: Bits of a set's parity bitmap at least, a power of two; larger sets have as many as shingles, or up to twice. They fold onto fewer.
 BITS = 1024
 
@@ -287,7 +292,7 @@ def _bitmaps(column) -> np.ndarray:
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: list[str]) -> DataFrame:
     """Those pairs of nodes (a, b) whose texts are alike, as an edge table."""
     ends = lambda df, c, x: df.select(F.col("node").alias(c), *[F.col(n).alias(n + x) for n in df.columns if n != "node"])
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -302,9 +307,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
                 own[i] = _possible(n[i], m[i], *(_folded(z, min(len(x), len(y))) for z in (x, y)))
             yield b.select(["a", "b"]).filter(pa.array(own))
 
-    left = cut(measured.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sift, _PAIR))
-    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    bodies = cut(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    left = stored(measured.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sift, _PAIR), scratch)
+    nodes = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), scratch)
+    bodies = stored(texts.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), scratch)
 
     def judge(batches):
         for b in batches:
@@ -315,69 +320,154 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(left.join(ends(bodies, "a", "_a"), "a").join(ends(bodies, "b", "_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(judge, _PAIR))
 
 
+_LISTED = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "s", "node", "n", "star", "star_n")])
+
+
+def _starred(s: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (s, node) in order, with n and the position of the least node under the same s."""
+    order = np.lexsort((node, s))
+    s, node, n = s[order], node[order], n[order]
+    own = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])]) if len(s) else np.zeros(0, bool)
+    s, node, n = s[own], node[own], n[own]
+    first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    return s, node, n, np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
+def _shared(rows: DataFrame, scratch: list[str]) -> DataFrame:
+    """s, node, n, star, star_n: the nodes under each prefix shingle that several hold, each beside one of the others under it.
+
+    A batch of documents lists one node a shingle, with which its others there pair, so a shingle that a third of all rows
+    holds makes few rows to one key; the others are dealt by themselves. What is listed once is dropped where it is sorted.
+    """
+
+    def listed(batches):
+        for b in batches:
+            own = b.column("prefix").is_valid()
+            b = b.filter(own)
+            lens = b.column("prefix").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            s = b.column("prefix").flatten().to_numpy()
+            s, node, n, at = _starred(s, *(np.repeat(b.column(c).to_numpy(), lens) for c in ("node", "n")))
+            own = at == np.arange(len(s))
+            alone = own & (np.bincount(at, minlength=len(s))[: len(s)] == 1)
+            key = np.where(own, s, node)
+            star = np.where(alone, 0, 1)  # of the listed: whether the batch has others under s
+            columns = (key, s, node, n, np.where(own, star, node[at]), np.where(own, -1, n[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_LISTED.names)
+
+    def settle(batches):
+        last = None  # the shingle at the end of the batch before: its least node and size
+        held = None  # its only row so far, not yet given
+        for b in batches:
+            s, node, n, star, star_n = (b.column(c).to_numpy() for c in _LISTED.names[1:])
+            out = []
+            other = star_n >= 0
+            if other.any():
+                out.append([c[other] for c in (s, node, n, star, star_n)])
+            s, node, n, local = (c[~other] for c in (s, node, n, star))
+            if len(s):
+                first = np.concatenate([[True], s[1:] != s[:-1]])
+                group = np.cumsum(first) - 1
+                at = np.flatnonzero(first)
+                size = np.bincount(group)
+                rep, rep_n = node[at].copy(), n[at].copy()
+                many = (size > 1) | (np.bincount(group, local) > 0)
+                joined = last is not None and s[0] == last[0]
+                if joined:
+                    rep[0], rep_n[0], many[0] = last[1], last[2], True
+                if held is not None and joined:
+                    out.append([np.array([x]) for x in held])
+                held = None
+                give = many[group]
+                if not many[-1] and size[-1] == 1:
+                    held = (s[-1], node[-1], n[-1], node[-1], n[-1])
+                out.append([c[give] for c in (s, node, n, rep[group], rep_n[group])])
+                last = (s[-1], rep[-1], rep_n[-1])
+            for x in out:
+                if len(x[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in x], names=_LISTED.names[1:])
+
+    each = rows.filter("prefix is not null").select("node", "n", "prefix").mapInArrow(listed, _LISTED)
+    each = each.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "s", "node")
+    return stored(each.mapInArrow(settle, T.StructType(_LISTED.fields[1:])), scratch)
+
+
+def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """Pairs of nodes of different components (found: node, root) under a shingle, as far as sizes and bitmaps allow."""
+    placed = shared.select("s", "node").join(found, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root")).distinct()
+    nodes = F.bit_xor(F.xxhash64("node")).alias("nodes")
+    open_ = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"), nodes).filter("held > 2 and x < y")
+    open_ = open_.groupBy("held", "nodes").agg(F.min("s").alias("s"))  # copies share many shingles; one stands for all with the same nodes
+    open_ = stored(open_.select("s", F.expr(f"cast(ceil(held / {BLOCK}) as int)").alias("blocks")), scratch)
+    rows = placed.join(open_, "s").join(sets, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("s", "node", "root", "n", "bits", own.alias("own"), other)
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def meet(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("n")
+        node, root, n, part = (batch.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+        alone = batch.column("i")[0].as_py() == batch.column("j")[0].as_py()
+        bits, out = _bitmaps(batch.column("bits")), [np.zeros((0, 2), np.int64)]
+        for k in range(len(node) - 1):  # sizes rise: those beyond 1.25 n are no candidates
+            upto = np.searchsorted(n, 5 * n[k] // 4, "right")
+            fits = (root[k + 1 : upto] != root[k]) & (alone | (part[k + 1 : upto] != part[k])) & _possible(n[k], n[k + 1 : upto], bits[k], bits[k + 1 : upto])
+            met = node[k + 1 : upto][fits]
+            out.append(np.stack([np.full(len(met), node[k]), met], 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return stored(rows.groupBy("s", "i", "j").applyInArrow(meet, _PAIR).distinct(), scratch)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """docs with group (long): rows of one group are linked by texts whose Jaccard similarity over word shingles (WORDS) is 0.8 or more.
+    """docs with row (a number of its own) and group (long): rows of one group are linked by texts whose Jaccard similarity over word
+    shingles (WORDS) is 0.8 or more.
 
     1. Texts with the same set of shingles are one node. Fingerprints of all, over the same shingles, are linked through vantage-point
-       trees at RADIUS bits; each linked node is a candidate with the first of its component.
+       trees at RADIUS bits; what they link are candidates.
     2. No radius that parts a tree reaches down to 0.8 (such pairs differ in 10 bits on average), so every node is also listed under the
-       shingles of its prefix: alike sets share one. First the nodes under a shingle are candidates with its least and
-       greatest node, so large groups of copies become one component in as many pairs as nodes (and up to three
-       nodes are done); then with all nodes under it in other components.
+       shingles of its prefix: alike sets share one. First the nodes under a shingle are candidates with one of them, so large
+       groups of copies become one component in as many pairs as nodes (and up to two nodes are done); then with all
+       nodes under it in other components, in blocks of BLOCK.
     3. Candidates that sizes and parity bitmaps allow are compared on their whole texts; only alike ones link.
 
-    No pair of alike texts is missed, up to equal 64-bit digests. Columns called node, fp, n, bits, prefix or group must not be in docs.
+    No pair of alike texts is missed, up to equal 64-bit digests. Columns called row, node, fp, n, bits, prefix or group must not be in docs.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, []
     common = spark.sparkContext.broadcast(_frequent(docs))
     extra = [T.StructField(c, t) for c, t in (("node", T.LongType()), ("fp", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()), ("prefix", T.ArrayType(T.LongType())))]
     schema = T.StructType([*docs.schema.fields, *extra])
 
     def run(batches):
         for b in batches:
-            nodes, fps, sizes, bits, firsts = [], [], [], [], []
+            nodes, fps, sizes, bits, firsts, seen = [], [], [], [], [], set()
             for x in b.column("text"):
                 every = shingles_of(x.as_py(), WORDS)
                 own = np.unique(every)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 fps.append(_simhash(every))
                 sizes.append(len(own))
-                bits.append(_bitmap(own))
-                firsts.append(prefix(own, *common.value).view(np.int64))
+                bits.append(None if nodes[-1] in seen else _bitmap(own))  # once a batch: thousands may have the same text
+                firsts.append(None if nodes[-1] in seen else prefix(own, *common.value).view(np.int64))
+                seen.add(nodes[-1])
             more = [pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
-    rows = cut(docs.mapInArrow(run, schema))
-    sets = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    listed = sets.select("node", "n", F.explode("prefix").alias("s"))
-    end = F.struct("node", "n")
-    ends = cut(listed.groupBy("s").agg(F.min(end).alias("least"), F.max(end).alias("most"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
-    listed, sets = cut(listed.join(ends, "s")), sets.select("node", "n", "bits")
-    trees = _linked(rows.select(F.col("node").alias("doc_id"), "fp"), RADIUS).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    near = lambda c: listed.filter(5 * F.least("n", f"{c}.n") >= 4 * F.greatest("n", f"{c}.n")).select(F.col("node").alias("a"), F.col(f"{c}.node").alias("b"))
-    stars = near("least").union(near("most"))
-    links = _verified(trees.union(stars), sets, rows)
-
-    found = components(links)
-    placed = listed.filter("held > 3").select("s", "node").join(found, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("s")
-    open_ = placed.join(cut(several), "s").join(sets, "node")
-
-    def meet(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by("n")
-        node, root, n = (batch.column(c).to_numpy() for c in ("node", "root", "n"))
-        bits, out = _bitmaps(batch.column("bits")), [np.zeros((0, 2), np.int64)]
-        for i in range(len(node) - 1):  # sizes rise: those beyond 1.25 n are no candidates
-            upto = np.searchsorted(n, 5 * n[i] // 4, "right")
-            own = (root[i + 1 : upto] != root[i]) & _possible(n[i], n[i + 1 : upto], bits[i], bits[i + 1 : upto])
-            other = node[i + 1 : upto][own]
-            out.append(np.stack([np.full(len(other), node[i]), other], 1))
-        pairs = np.concatenate(out)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    rest = cut(open_.groupBy("s").applyInArrow(meet, _PAIR))
-    found = components(links.union(_verified(rest, sets, rows)))
-    return rows.drop("fp", "n", "bits", "prefix").join(found, "node", "left").select(*docs.columns, F.coalesce("root", "node").alias("group"))
+    rows = stored(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    sets = stored(rows.filter("bits is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), scratch)
+    shared = _shared(rows, scratch)
+    points = rows.groupBy("fp").agg(F.min("node").alias("rep"))
+    forest = _forest(cut(points), RADIUS)
+    equals = rows.select("fp", "node").distinct().join(points, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    stars = shared.filter("5 * least(n, star_n) >= 4 * greatest(n, star_n)").select(F.col("node").alias("a"), F.col("star").alias("b"))
+    links = _verified(forest.union(equals).union(stars), sets, rows, scratch)
+    found = stored(components(links))
+    rest = _across(shared, found, sets, scratch)
+    if rest.limit(1).count():
+        found = stored(components(links.union(_verified(rest, sets, rows, scratch))))
+    dropped(spark, scratch)
+    return rows.drop("fp", "n", "bits", "prefix").join(found, "node", "left").select(*docs.columns, "row", F.coalesce("root", "node").alias("group"))
 
 
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
