@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,6 +361,29 @@ def test_repeats(spark, monkeypatch, group):
     assert suffixes.remove_repeats(df.limit(0)).collect() == []
 
 
+def test_repeated_passages_are_counted_beside_the_digest(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GATHERED", 4000)
+    rnd = random.Random(7)
+    long = lambda n: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(rnd.randrange(1, 8))) for _ in range(n))
+    passages = [long(n) for n in (50, 51, 55, 60, 75, 200)]
+    texts = [f"{long(rnd.randrange(40))}\n{p}  {long(rnd.randrange(40))}" for p in passages for _ in range(rnd.randrange(2, 5))]
+    near = long(150).split()
+    texts += [" ".join([*near[:i], f"x{i}", *near[i + 1 :]]) for i in range(20, 130, 10)] + [long(120) for _ in range(20)]
+    texts += [texts[-1], "one two", None, "", " \n", ("tick tock\n" * 60), "\u4e2d\u6587" * 40 + "\u65e5", "abc " + "\u4e2d\u6587" * 30, long(6000) + " " + passages[2]]
+    rnd.shuffle(texts)
+    split = [re.findall(r"[\u3000-\u9fff]|[^\s\u3000-\u9fff]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    want = [len({j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}) for w in split]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffixes.remove_repeats(df, kept=None, words=51, remove_words=False).collect()
+    assert {r.doc_id: r.n_repeated_words for r in rows} == dict(enumerate(want)) and sum(w > 0 for w in want) > 20
+    for i, digest in enumerate(brute_removed([(t or "").encode() for t in texts])):
+        assert next((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows if r.doc_id == i) == digest
+    for t in texts:
+        starts, ends = suffixes.word_spans((t or "").encode())
+        assert [(t or "").encode()[a:z].decode() for a, z in zip(starts, ends, strict=True)] == re.findall(r"[\u3000-\u9fff]|[^\s\u3000-\u9fff]+", t or "")
+
+
 def test_long_texts_in_stretches(monkeypatch):
     raw = bytes(random.Random(1).randrange(256) for _ in range(5000))
     whole = list(suffixes.anchors_of(raw))
