@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import LOWER, UPPER, cut, table
+from quarrylight.llm.common import LOWER, UPPER, cut, stored, table
 
 WINDOW = 10
 #: Bytes of windows that are broadcast at once; larger benchmarks are joined in blocks of this size.
@@ -60,7 +60,10 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: in
     size = windows.agg(F.sum(F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 256)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     carried = [c for c in docs.columns if c != "text"]
-    base = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*carried).alias("__doc"), words_of(F.col("text")).alias("__w"))
+    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    if blocks > 1:  # several passes must see one numbering
+        docs = stored(docs)
+    base = docs.select("__row", F.struct(*carried).alias("__doc"), words_of(F.col("text")).alias("__w"))
     place = base.select("*", F.posexplode(F.array_append("__w", F.lit(""))).alias("__at", "word"))
     passes = []
     for i in range(blocks):
