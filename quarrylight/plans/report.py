@@ -147,8 +147,8 @@ def one_liners(name: str, rows: DataFrame, n: int) -> DataFrame:
         order, line = [F.desc("score"), F.desc("failure_rate"), F.desc("runs"), "workflow"], F.concat(F.format_string("**%d** ", "score"), code("workflow"), F.format_string(", %d runs, %d%% failed", "runs", F.floor(F.col("failure_rate") * 100).cast("int")))
     else:
         order, line = [F.desc("delta_rank"), F.desc("evidence_raw"), "new_rank"], F.concat(code("file"), F.format_string(" rose %d places (%d to %d), %d issues", "delta_rank", "old_score", "new_score", "issues"))
-    first = rows.orderBy(*order).limit(n).select(line.alias("line"))
-    return first.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("position"), "line")  # n rows
+    first = rows.orderBy(*order).limit(n)
+    return first.select(F.row_number().over(Window.orderBy(*order)).alias("position"), line.alias("line"))  # of n rows
 
 
 def index(title: str, results: list[dict], lines: dict[str, list[str]]) -> str:

@@ -34,16 +34,22 @@ def imported_by(files: DataFrame, roots: tuple[str, ...]) -> DataFrame:
     return found.filter("target <> path").groupBy(F.col("target").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("imported_by"))
 
 
+# What gives a file a role at the edge of requests.
+ROUTE_PATHS = ("/routes/", "/api/", "route.ts")
+AUTH_PATHS = ("auth", "rbac", "permission", "middleware")
+REQUEST = r"(?U)request\.(?:json|form|body|query|args)|await\s+request\.|Body\(|Query\(|Form\("
+
+
 def roles(path, src):
+    """The roles of a file, in order."""
     low = F.lower(path)
-    edge = r"(?U)request\.(?:args|body|form|json|query)|await\s+request\.|(?:Body|Form|Query)\("
-    found = F.array(
-        F.when(paths.contains_any(low, ("auth", "middleware", "permission", "rbac")), F.lit("auth")),
-        F.when(src.rlike(edge), F.lit("input-handler")),
-        F.when(paths.contains_any(low, ("/api/", "/routes/", "route.ts")), F.lit("route")),
-        F.when(F.contains(low, F.lit("webhook")) | F.contains(F.lower(src), F.lit("webhook")), F.lit("webhook")),
-    )
-    return F.array_compact(found)
+    fits = {
+        "route": paths.contains_any(low, ROUTE_PATHS),
+        "auth": paths.contains_any(low, AUTH_PATHS),
+        "webhook": F.contains(low, F.lit("webhook")) | F.contains(F.lower(src), F.lit("webhook")),
+        "input-handler": src.rlike(REQUEST),
+    }
+    return F.array_compact(F.array(*[F.when(fits[r], F.lit(r)) for r in sorted(fits)]))
 
 
 def grown_vocabulary(files: DataFrame, seed: tuple[str, ...], rounds: int = 4) -> tuple[str, ...]:
