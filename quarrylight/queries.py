@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import paths, risk, text
 from quarrylight.operators import graph, joins, ordering
-from quarrylight.plans import arch, ci, deadcode, drift, opportunity, techdebt, triage
+from quarrylight.plans import arch, ci, deadcode, drift, opportunity, security, techdebt, triage
 from quarrylight.session import shipped
+from quarrylight.sources.repo import Repo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,20 +198,43 @@ def token_liveness(spark, sf_dir):
     return both.groupBy("doc_id").agg(F.count_if(other == 0).alias("unused"), F.count_if((other > 0) & (src == 0)).alias("test_only"))
 
 
-_PLAIN = [k for k, (_, _, _, r) in risk.PATTERNS.items() if "(?!" not in r]
-_RE2 = {k: ("(?i)" if "i" in risk.PATTERNS[k][2] else "") + risk.PATTERNS[k][3].replace("'", "''") for k in _PLAIN}
 _BODY = r"""array_to_string(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: NOT regexp_matches(x, '^\s*#')), chr(10))"""
+_TAILS = ("yaml.load(f)", "yaml.load(f, Loader=SafeLoader)", "requests.get(url) or requests.post('u')", "urlopen('u')", "x = urlopen(u)")
+_SCRIPT = "import { exec } from 'node:child_process'; exec(a); RX.exec(b); cp.spawnSync(c)"
+
+
+def _matches(name: str) -> str:
+    """SQL for the matches of a pattern. The regex engine has no lookahead: calls are counted without those that it rules out."""
+    _, _, flags, regex = risk.PATTERNS[name]
+    find = lambda r: f"""len(regexp_extract_all(body, '{("(?i)" if "i" in flags else "") + r.replace("'", "''")}'))"""
+    if name == "yaml_unsafe":
+        call = regex[: regex.index("(?!")]
+        return f"({find(call)} - {find(call + '[^)]*Safe')})"
+    if "(?!" in regex:  # white space before a quote can be given back, so only a quote at once rules a call out
+        call = regex[: regex.index(r"\s*(?!")]
+        return f"""({find(call)} - {find(call + "['" + '"]')})"""
+    return find(regex)
+
+
+def _lits(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_BODY} AS body FROM documents), c AS (SELECT doc_id, {", ".join(f"len(regexp_extract_all(body, '{r}')) AS {k}" for k, r in _RE2.items())} FROM d)
-    SELECT doc_id, literal_secret::INT AS literal_secret, ({" + ".join(f"{risk.PATTERNS[k][0]} * {k}" for k in _PLAIN)})::DOUBLE AS vuln_raw FROM c"""
+    f"""WITH t AS (SELECT doc_id, text || chr(10) || {_lits(_TAILS)}[1 + doc_id % {len(_TAILS)}] AS text FROM documents), d AS (SELECT doc_id, {_BODY} AS body FROM t),
+    c AS (SELECT doc_id, {", ".join(f"{_matches(k)} AS {k}" for k in risk.PATTERNS)} FROM d)
+    SELECT doc_id, literal_secret::INT AS literal_secret, yaml_unsafe::INT AS yaml_unsafe, ssrf_request::INT AS ssrf_request, urlopen::INT AS urlopen, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS spawned,
+    ({" + ".join(f"{risk.PATTERNS[k][0]} * {k}" for k in risk.PATTERNS)} + CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END + 3 * (doc_id % 4))::DOUBLE AS vuln_raw FROM c"""
 )
 def risk_patterns(spark, sf_dir):
-    body = text.without_comments(F.col("text"), F.lit(True))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
-    found = {k: n for k, n in risk.counts(F.col("body"), F.lit(True)).items() if k in _PLAIN}
-    return docs.select("doc_id", found["literal_secret"].alias("literal_secret"), risk.score(found, F.lit(0), F.lit(0)).alias("vuln_raw"))
+    """All patterns over every text and a line of code after it; process calls of a script; handlers without authentication."""
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("doc_id") % len(_TAILS)).cast("int") + 1)
+    body = text.without_comments(F.concat("text", F.lit("\n"), tail), F.lit(True))
+    script = F.when(F.col("doc_id") % 3 == 0, _SCRIPT).otherwise("exec(a)")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", body.alias("body"), risk.child_processes(script, F.lit(False)).alias("spawned"))
+    found = risk.counts(F.col("body"), F.lit(True))
+    shown = [found[k].alias(k) for k in ("literal_secret", "yaml_unsafe", "ssrf_request", "urlopen")]
+    return docs.select("doc_id", *shown, "spawned", risk.score(found, F.col("spawned"), F.col("doc_id") % 4).alias("vuln_raw"))
 
 
 _STEM = r"(CASE WHEN regexp_extract({0}, '[^/.][^/]*(\.[^/.]+)$', 1) = '' THEN string_split({0}, '/')[-1] ELSE left(string_split({0}, '/')[-1], length(string_split({0}, '/')[-1]) - length(regexp_extract({0}, '[^/.][^/]*(\.[^/.]+)$', 1))) END)"
@@ -477,7 +501,7 @@ _KEPT = r"list_filter(string_split(replace(html, chr(13), ''), chr(10)), lambda
 
 @query(
     rf"""WITH p AS (SELECT page_id, html, {_KEPT} AS l FROM pages),
-    c AS (SELECT page_id, len(l)::INT AS loc, len(regexp_extract_all(array_to_string(l, chr(10)), '\b(?:case|catch|for|if|switch|while)\b|\|\||&&|\?[?.]'))::INT AS cc, len(regexp_extract_all(html, '=>'))::INT AS funcs FROM p)
+    c AS (SELECT page_id, len(l)::INT AS loc, len(regexp_extract_all(array_to_string(l, chr(10)), '\b(if|for|while|case|catch|switch)\b|&&|\|\||\?\?|\?\.'))::INT AS cc, len(regexp_extract_all(html, '=>'))::INT AS funcs FROM p)
     SELECT page_id, loc, cc, funcs, round(cc + 0.05::DOUBLE * loc, 1) AS raw FROM c"""
 )
 def ts_complexity(spark, sf_dir):
@@ -501,3 +525,130 @@ def path_functions(spark, sf_dir):
 )
 def squeezed_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.squeezed(F.col("text"), 60).alias("line"))
+
+
+# --- lenses over a repository made of the driver's tables -----------------------------------------------------------------
+
+_PATHS = (
+    "src/routes/r{}.py", "tests/test_{}.py", "src/api/x{}_test.go", "src/lib/util{}.ts", "web/node_modules/a{}.js", "src/app/page.tsx", "app/models/m{}.py",
+    "src/components/c{}.test.tsx", "conftest.py", "src/x{}/__init__.py", "lib/Auth{}.ts", "src/hooks/h{}.d.ts", "src/instrumentation.ts", "src/webhook/middleware.ts",
+)
+_RANKS = paths.layers(arch.LAYERS["py"])
+_CONTAINS = lambda column, words: f"len(list_filter({_lits(words)}, lambda t: contains({column}, t))) > 0"
+_TAG_SQL = {t: " OR ".join([_CONTAINS("lower(path)", p)] * bool(p) + [_CONTAINS("text", w)] * bool(w)) for t, (p, w) in deadcode.TAGS.items()}
+_TAG_SQL["orm/pydantic-model"] += f" OR regexp_matches(text, '{deadcode.MODEL_CLASS[4:]}')"
+_TAG_SQL["framework-entrypoint"] = f"""base IN {deadcode.ENTRYPOINTS} OR (ext IN {paths.SCRIPT} AND (stem IN {deadcode.ROOT_STEMS} OR (stem IN {deadcode.APP_STEMS} AND list_contains(segs[:-2], 'app'))))"""
+_ROLE_SQL = {
+    "auth": _CONTAINS("lower(path)", security.AUTH_PATHS), "input-handler": f"regexp_matches(text, '{security.REQUEST[4:]}')",
+    "route": _CONTAINS("lower(path)", security.ROUTE_PATHS), "webhook": "contains(lower(path), 'webhook') OR contains(lower(text), 'webhook')",
+}
+_PICKED = lambda found: "list_filter([" + ", ".join(f"CASE WHEN {found[k]} THEN '{k}' END" for k in sorted(found)) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, text, replace({_lits(_PATHS)}[1 + doc_id % {len(_PATHS)}], '{{}}', doc_id::VARCHAR) AS path FROM documents),
+    s AS (SELECT *, string_split(path, '/') AS segs, string_split(path, '/')[-1] AS base, regexp_extract(path, '[^/.][^/]*(\\.[^/.]+)$', 1) AS ext, {_STEM.format("path")} AS stem FROM p),
+    l AS (SELECT *, list_filter(list_transform(list_concat(list_transform(segs[:-2], lambda x: lower(x)), [lower(stem)]), lambda x: CASE {" ".join(f"WHEN x = '{k}' THEN '{v[0]}:{v[1]}'" for k, v in _RANKS.items())} END), lambda x: x IS NOT NULL)[1] AS hit FROM s)
+    SELECT doc_id, path, {_CONTAINS("path", paths.DENIED)} AS denied, {_CONTAINS("path", paths.GRAPH_DENIED_SCRIPT)} AS graph_denied, {_CONTAINS("path", paths.DRIFT_DENIED)} AS drift_denied,
+        ext IN {paths.PYTHON + paths.SCRIPT} AS code, starts_with(path, 'src/') OR starts_with(path, 'lib/') AS under, regexp_matches(path, '{paths.NAMED_TEST}') AS named_test, regexp_matches(path, '{paths.TEST}') AS test,
+        replace(regexp_replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.py$', ''), '/__init__$', ''), '/', '.') AS module, coalesce(split_part(hit, ':', 1), 'core') AS layer, split_part(hit, ':', 2)::INT AS rank,
+        array_to_string({_PICKED(_ROLE_SQL)}, ',') AS roles, array_to_string({_PICKED(_TAG_SQL)}, ',') AS tags FROM l"""
+)
+def path_predicates(spark, sf_dir):
+    """Which files each lens sees, and what it takes them for."""
+    template = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % len(_PATHS)).cast("int") + 1)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "text", F.replace(template, F.lit("{}"), F.col("doc_id").cast("string")).alias("path"))
+    path, src, at = F.col("path"), F.col("text"), paths.layer_of(F.col("path"), _RANKS)
+    entry = deadcode._by_convention(path)
+    return rows.select(
+        "doc_id", "path", paths.contains_any(path, paths.DENIED).alias("denied"), paths.contains_any(path, paths.GRAPH_DENIED_SCRIPT).alias("graph_denied"),
+        paths.contains_any(path, paths.DRIFT_DENIED).alias("drift_denied"), paths.is_code(path).alias("code"), paths.under(path, ("src/", "lib/")).alias("under"),
+        paths.is_named_test(path).alias("named_test"), paths.is_test(path).alias("test"), paths.module_name(path, "src/").alias("module"), at["label"].alias("layer"), at["rank"].alias("rank"),
+        F.array_join(security.roles(path, src), ",").alias("roles"), F.array_join(deadcode._tags(path, src, entry), ",").alias("tags"),
+    )
+
+
+_FILES = "SELECT 'src/p' || page_id || CASE WHEN page_id % 7 = 0 THEN '.test' ELSE '' END || '.ts' AS file, html FROM pages"
+_TOUCHES = "SELECT 'src/p' || (event_id % 400) || '.ts' AS file, count(*)::INT AS commits, coalesce(sum((props->>'k')::INT) FILTER (event_type <> 'error'), 0)::INT AS lines FROM events GROUP BY 1"
+_DEBT = rf"""WITH f AS ({_FILES}), k AS (SELECT file, {_KEPT} AS l, html FROM f WHERE NOT contains(file, '.test.')),
+    x AS (SELECT file, round(len(regexp_extract_all(array_to_string(l, chr(10)), '{text.BRANCH[4:]}')) + 0.05::DOUBLE * len(l), 1) AS raw FROM k),
+    j AS (SELECT x.file, raw, coalesce(commits, 0)::INT AS commits, coalesce(lines, 0)::INT AS lines, coalesce(commits, 0) + coalesce(lines, 0) / 1000.0::DOUBLE AS churn_raw FROM x LEFT JOIN ({_TOUCHES}) t ON t.file = x.file),
+    t AS (SELECT list_sort(list(churn_raw)) AS a, list_sort(list(raw)) AS b, count(*) AS n FROM j),
+    d AS (SELECT file, commits, lines, churn_raw, raw, {_above("churn_raw", "a", "n")} AS impact, {_above("raw", "b", "n")} AS opportunity FROM j, t)"""
+
+
+def _repo(spark, sf_dir):
+    page = F.when(F.col("page_id") % 7 == 0, ".test").otherwise("")
+    files = _t(spark, sf_dir, "pages").select(F.concat(F.lit("src/p"), "page_id", page, F.lit(".ts")).alias("path"), F.col("html").alias("src"))
+    tests = _t(spark, sf_dir, "documents").select(F.concat(F.lit("tests/t"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("p"), F.col("doc_id") * 37 % 1000, F.lit(" "), "text").alias("src"))
+    k = F.get_json_object("props", "$.k")
+    touches = _t(spark, sf_dir, "events").select(k.alias("added"), F.when(F.col("event_type") == "error", "-").otherwise("0").alias("deleted"), F.concat(F.lit("src/p"), F.col("event_id") % 400, F.lit(".ts")).alias("raw_path"))
+    return Repo(spark, files.union(tests), {"numstat": touches})
+
+
+@query(f"{_DEBT} SELECT file, commits, lines, churn_raw, raw, impact, opportunity, impact * opportunity AS score FROM d")
+def techdebt_lens(spark, sf_dir):
+    """The whole lens: pages are its code files, events the commits that touch them."""
+    return techdebt.techdebt(_repo(spark, sf_dir)).select("file", "commits", "lines", "churn_raw", F.col("complexity.raw").alias("raw"), "impact", "opportunity", "score")
+
+
+@query(
+    f"""{_DEBT}, h AS (SELECT *, {_STEM.format("file")} AS stem FROM d WHERE impact >= 4),
+    b AS (SELECT 'p' || (doc_id * 37 % 1000) || ' ' || text AS body FROM documents UNION ALL SELECT html FROM f WHERE contains(file, '.test.')),
+    r AS (SELECT stem, count(body) AS refs FROM (SELECT DISTINCT stem FROM h) LEFT JOIN b ON contains(body, stem) GROUP BY 1)
+    SELECT file, round(churn_raw / (1 + refs), 1) AS gap, commits, impact, raw AS complexity_raw, refs::INT AS test_refs FROM h JOIN r USING (stem)"""
+)
+def coverage_lens(spark, sf_dir):
+    """Churned pages over the texts, and tests beside them, that name them."""
+    repo = _repo(spark, sf_dir)
+    return techdebt.coverage(techdebt.techdebt(repo), techdebt.tests(repo.files))
+
+
+@query(
+    f"""WITH r AS (SELECT o_orderpriority AS workflow, o_orderkey % 11 <> 0 AS done, CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'failure' ELSE 'cancelled' END AS st,
+        CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey % 977)::DOUBLE END AS s FROM orders),
+    w AS (SELECT workflow, count(*)::INT AS runs, count(*) FILTER (done AND st = 'success')::INT AS success, count(*) FILTER (done AND st = 'failure')::INT AS failure,
+        count(*) FILTER (done AND st = 'cancelled')::INT AS cancelled, list_sort(list(s) FILTER (done AND s IS NOT NULL)) AS d FROM r GROUP BY 1),
+    h AS (SELECT workflow, runs, success, failure, cancelled, round(failure / (success + failure)::DOUBLE, 3) AS failure_rate, round(d[len(d) // 2 + 1] / 60.0, 1)::DOUBLE AS p50_min FROM w)
+    SELECT *, {_share("runs")} AS impact, {_share("failure_rate")} AS opportunity, {_share("runs")} * {_share("failure_rate")} AS score FROM h"""
+)
+def ci_lens(spark, sf_dir):
+    """The whole lens: orders are runs with times as text, some unreadable, some not completed."""
+    start = F.col("o_orderdate").cast("timestamp")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    end = F.when(F.col("o_orderkey") % 13 == 0, "soon").otherwise(iso(F.timestamp_seconds(F.unix_timestamp(start) + F.col("o_orderkey") % 977)))
+    outcome = F.when(F.col("o_orderstatus") == "O", "success").when(F.col("o_orderstatus") == "F", "failure").otherwise("cancelled")
+    runs = _t(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("workflowName"), outcome.alias("conclusion"), F.when(F.col("o_orderkey") % 11 == 0, "queued").otherwise("completed").alias("status"),
+        iso(start).alias("createdAt"), end.alias("updatedAt"), F.lit("push").alias("event"),
+    )
+    return ci.ci(runs).drop("other")
+
+
+@query(
+    """WITH m AS (SELECT 'u' || user_id AS file, max(ts) AS changed FROM events WHERE event_type <> 'error' GROUP BY 1),
+    e AS (SELECT 'u' || user_id AS file, CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END AS stamp FROM events WHERE event_type = 'error')
+    SELECT file, count(*)::INT AS audit FROM e LEFT JOIN m USING (file) WHERE NOT coalesce(changed > stamp, false) GROUP BY 1"""
+)
+def audit_counts(spark, sf_dir):
+    """Findings with times as text, some unreadable, on files that did not change since."""
+    events = _t(spark, sf_dir, "events")
+    file = F.concat(F.lit("u"), "user_id").alias("file")
+    stamp = F.when(F.col("event_id") % 5 == 0, "then").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    findings = events.filter("event_type = 'error'").select(file, stamp.alias("ts"))
+    changes = events.filter("event_type <> 'error'").groupBy(file).agg(F.max("ts").alias("changed"))
+    return opportunity.finding_counts(findings, changes)
+
+
+@query(
+    """SELECT 'o' || o_orderkey AS id, o_orderpriority || chr(10) || o_orderstatus AS text FROM orders o
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4 UNION ALL SELECT l_orderkey + 1 FROM lineitem WHERE l_linenumber = 4)"""
+)
+def open_issue_texts(spark, sf_dir):
+    """Orders are issues; lines are merged changes, of which some close two of them."""
+    orders = _t(spark, sf_dir, "orders")
+    issues = orders.select(F.col("o_orderkey").cast("int").alias("number"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body"))
+    key = F.col("l_orderkey")
+    closes = F.concat(F.lit("Fixes #"), key, F.lit(" and #"), key + 1)
+    pulls = _t(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 4, closes).otherwise(F.concat(F.lit("see #"), key)).alias("body"))
+    return opportunity.open_issues(issues, pulls).select(F.concat(F.lit("o"), "id").alias("id"), "text")
