@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,19 +12,29 @@ from quarrylight.llm.common import table
 
 #: The training sample: about so many documents a language, so many characters from a place in each chosen by hash.
 DOCS, CHARS = 400, 2000
-HIDDEN, STEPS, BATCH, RATE = 16, 700, 384, 0.01
-#: The network reads a text in runs of up to SPAN bytes of a word and the space after it.
-SPAN = 7
-#: A worker remembers the labels of so many runs.
-REMEMBERED = 400_000
+HIDDEN, STEPS, BATCH, RATE = 8, 500, 64, 0.02
+#: A text is read in stretches of STRETCH bytes; OVERLAP bytes more on either side are read, but labelled by the stretch that they belong to.
+STRETCH, OVERLAP = 1024, 64
+#: Backpropagation goes through so many steps.
+TRAINED = 96
+#: Stretches that are read side by side.
+LANES = 1024
 UNKNOWN = "und"
 
-_RUN = re.compile(rb"\S{1,%d}\s?" % SPAN)
+
+def runs_of(text: str, size: int = TRAINED) -> list[bytes]:
+    """The whole text in runs of `size` bytes, A-Z lowered."""
+    raw = text.encode().lower()
+    return [raw[i : i + size] for i in range(0, len(raw), size)]
 
 
-def runs_of(text: str) -> list[bytes]:
-    """The runs of the whole text, A-Z lowered."""
-    return _RUN.findall(text.encode().lower())
+def stretches(raw: bytes) -> list[tuple[bytes, int, int]]:
+    """What is read of a text at a time, and from where to where it is labelled: every byte once."""
+    out = []
+    for i in range(0, len(raw), STRETCH):
+        first = max(0, i - OVERLAP)
+        out.append((raw[first : i + STRETCH + OVERLAP], i - first, min(i + STRETCH, len(raw)) - first))
+    return out
 
 
 def _padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +79,62 @@ class Network:
             state = out[:, t] = nxt
         return out, saved
 
-    def log_probs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each run's sum over its positions of the languages' log probabilities, and its positions."""
-        sums, lens = np.zeros((len(runs), len(self.langs)), np.float32), np.array([len(r) for r in runs])
-        order = np.argsort(lens, kind="stable")
-        for i in range(0, len(runs), 4096):
-            at = order[i : i + 4096]
-            x, mask = _padded([runs[j] for j in at])
-            both = np.concatenate([self._layer(x, mask, d)[0] for d in "fb"], axis=2)
-            z = both @ self.p["V"] + self.p["o"]
-            z -= z.max(2, keepdims=True)
-            z -= np.log(np.exp(z).sum(2, keepdims=True))
-            sums[at] = (z * mask[:, :, None]).sum(1)
-        return sums, lens
+    def _states(self, lanes: list[np.ndarray], d: str):
+        """Yields, step by step, the number of lanes that go on (the first ones; lanes come longest first) and their logits from one end."""
+        h, w, u, c = self.h, self.p[f"W{d}"], self.p[f"U{d}"], self.p[f"c{d}"]
+        v = np.ascontiguousarray(self.p["V"][:h] if d == "f" else self.p["V"][h:])
+        # whole arrays for each gate; sigmoid(x) = (tanh(x / 2) + 1) / 2
+        (wz, wr, wn), (uz, ur, un) = ([np.ascontiguousarray(m[:, k * h : (k + 1) * h] * f) for k, f in enumerate((0.5, 0.5, 1.0))] for m in (w.astype(np.float32), u.astype(np.float32)))
+        lens = np.array([len(x) for x in lanes])
+        x = np.zeros((lens[0], len(lanes)), np.intp)
+        for i, lane in enumerate(lanes):
+            x[: len(lane), i] = lane
+        state, c = np.zeros((len(lanes), h), np.float32), c.astype(np.float32)
+        alive = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), "right")
+        for t in range(lens[0]):
+            n = int(alive[t])
+            state, own = state[:n], x[t, :n]
+            keep = wz.take(own, 0)
+            keep += state @ uz
+            np.tanh(keep, out=keep)
+            keep += 1
+            keep *= 0.5
+            reset = wr.take(own, 0)
+            reset += state @ ur
+            np.tanh(reset, out=reset)
+            reset += 1
+            reset *= 0.5
+            inner = state @ un
+            inner += c
+            inner *= reset
+            inner += wn.take(own, 0)
+            np.tanh(inner, out=inner)
+            state = state - inner
+            state *= keep
+            state += inner
+            yield n, state @ v
+
+    def log_probs(self, parts: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Each stretch's sum over its labelled positions of the languages' log probabilities."""
+        sums = np.zeros((len(parts), len(self.langs)), np.float64)
+        order = sorted(range(len(parts)), key=lambda i: -len(parts[i][0]))
+        for i in range(0, len(order), LANES):
+            at = order[i : i + LANES]
+            lanes = [np.frombuffer(parts[j][0], np.uint8) for j in at]
+            lens = np.array([len(x) for x in lanes])
+            ends = np.cumsum(lens)
+            z = np.empty((ends[-1], len(self.langs)), np.float32)
+            for t, (n, own) in enumerate(self._states(lanes, "f")):
+                z[(ends - lens)[:n] + t] = own
+            for t, (n, own) in enumerate(self._states([x[::-1] for x in lanes], "b")):
+                z[ends[:n] - 1 - t] += own
+            z += self.p["o"]
+            z -= z.max(1, keepdims=True)
+            z -= np.log(np.exp(z).sum(1, keepdims=True))
+            upto = np.concatenate([np.zeros((1, z.shape[1])), np.cumsum(z, axis=0, dtype=np.float64)])
+            first, last = (np.array([parts[j][k] for j in at]) for k in (1, 2))
+            sums[at] = upto[ends - lens + last] - upto[ends - lens + first]
+        return sums
 
     def gradients(self, runs: list[bytes], y: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
@@ -167,8 +217,8 @@ def train(docs: DataFrame, learn: Column, per_lang: int = DOCS, chars: int = CHA
 def identify(docs: DataFrame, learn: Column, net: Network | None = None) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of the whole text of every row of docs.
 
-    The network labels every byte, within runs of SPAN bytes of a word; a document's probabilities are the normalised
-    geometric mean of all its positions'. Equal runs get equal labels, so a worker computes each once and counts.
+    The network labels every byte. It reads stretches of STRETCH bytes with OVERLAP bytes of what comes before and after, its states carried
+    over all of them; a document's probabilities are the normalised geometric mean of all its positions'.
     Only the text is an input of a prediction. A text that is null or has no letter is `und`, score 0; so is every
     text if nothing could be learned. Repeated rows are judged alike. Empty tables give an empty result.
     """
@@ -177,33 +227,31 @@ def identify(docs: DataFrame, learn: Column, net: Network | None = None) -> Data
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches):
-        net, place, sums, lens = shared.value, {}, None, None
+        net = shared.value
         for b in batches:
-            out_lang, out_score = [], []
-            for i in range(0, b.num_rows, 256):
-                texts = b.column("text")[i : i + 256].to_pylist()
-                lettered = b.column("lettered")[i : i + 256].to_pylist()
-                counts = [Counter(runs_of(t)) if ok and net else None for t, ok in zip(texts, lettered, strict=True)]
-                if len(place) > REMEMBERED:
-                    place, sums = {}, None
-                fresh = list({r for c in counts if c for r in c if r not in place})
-                if fresh:
-                    s, n = net.log_probs(fresh)
-                    place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-                    sums, lens = (s, n) if sums is None else (np.concatenate([sums, s]), np.concatenate([lens, n]))
-                for c in counts:
-                    if not c:
-                        out_lang.append(UNKNOWN)
-                        out_score.append(0.0)
-                        continue
-                    at = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
-                    n = np.fromiter(c.values(), np.float64, len(c))
-                    z = (n @ sums[at]) / (n @ lens[at])
-                    q = np.exp(z - z.max())
-                    k = int(q.argmax())
-                    out_lang.append(net.langs[k])
-                    out_score.append(float(q[k] / q.sum()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=schema.names)
+            lettered = b.column("lettered").to_numpy(zero_copy_only=False) & (net is not None)
+            lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            i = 0
+            while i < b.num_rows:
+                parts, owner, size = [], [], 0
+                while i < b.num_rows and size < 2 * LANES * STRETCH:
+                    if lettered[i]:
+                        raw = b.column("text")[i].as_py().encode().lower()
+                        own = stretches(raw)
+                        parts += own
+                        owner += [i] * len(own)
+                        size += len(raw)
+                    i += 1
+                if not parts:
+                    continue
+                rows, first = np.unique(owner, return_index=True)
+                z = np.add.reduceat(net.log_probs(parts), first, axis=0)
+                z /= np.add.reduceat([last - start for _, start, last in parts], first)[:, None]
+                q = np.exp(z - z.max(1, keepdims=True))
+                score[rows] = q.max(1) / q.sum(1)
+                for row, k in zip(rows.tolist(), q.argmax(1).tolist(), strict=True):
+                    lang[row] = net.langs[k]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
     rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return rows.mapInArrow(predict, schema)

@@ -204,8 +204,28 @@ def test_language(spark, monkeypatch):
     assert langid.identify(df.limit(0), F.lit(True)).collect() == []
 
 
-def test_whole_text_is_read():
-    assert b"".join(langid.runs_of("Ab  cdefghijk é\n")) == "ab cdefghijk é\n".encode()
+def test_whole_text_is_read(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 70)
+    monkeypatch.setattr(langid, "OVERLAP", 20)
+    raw = random.Random(2).randbytes(400)
+    assert b"".join(langid.runs_of("Ab  cdefghijk é\n" * 30)) == ("ab  cdefghijk é\n" * 30).encode()
+    assert b"".join(own[a:z] for own, a, z in langid.stretches(raw)) == raw and langid.stretches(b"") == []
+    assert all(own in raw and a in (0, 20) and len(own) - z in range(21) for own, a, z in langid.stretches(raw))
+
+
+def test_states_are_carried_over_words_and_lanes():
+    net = langid.Network(["a", "b", "c"], 4)
+    rnd = random.Random(3)
+    runs = [rnd.randbytes(n) for n in (40, 3, 90, 41, 1)]
+    got = net.log_probs([(r, 0, len(r)) for r in runs])
+    for r, own in zip(runs, got, strict=True):  # the layers that training goes through say the same
+        x, mask = langid._padded([r])
+        both = np.concatenate([net._layer(x, mask, d)[0] for d in "fb"], axis=2)
+        z = both[0] @ net.p["V"] + net.p["o"]
+        assert np.allclose((z - np.log(np.exp(z).sum(1, keepdims=True))).sum(0), own, atol=1e-3)
+    text = b"far away   " + b"x" * 30
+    one, other = (net.log_probs([(t, 40, 41)])[0] for t in (text, b"q" + text[1:]))
+    assert np.abs(one - other).max() > 0  # the last byte's label depends on the first, forty bytes before
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------
