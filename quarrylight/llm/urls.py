@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import lower_ascii, table
+from quarrylight.llm.common import cut, lower_ascii, table
 
 #: (verdict, host, path): a rule fits its host and every subdomain, for paths that start with its path.
 RULES = (
@@ -15,7 +15,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Suffixes of two labels; any other suffix is the last label.
+#: Suffixes of two labels where the caller gives none; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "com.mx")
 #: A host is blocked if the upper bound of its posterior rate of good pages is below LEAST_GOOD.
 LEAST_GOOD, Z = 0.5, 1.645
@@ -33,11 +33,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def _parts(host: Column) -> tuple[Column, Column]:
+def _parts(host: Column, two_labels) -> tuple[Column, Column]:
     """Registered domain and suffix of a host."""
     labels = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
     tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    two = tail(2).isin(*TWO_LABEL_SUFFIXES)
+    two = tail(2).isin(*two_labels)
     return F.when(two, tail(3)).otherwise(tail(2)), F.when(two, tail(2)).otherwise(tail(1))
 
 
@@ -60,17 +60,18 @@ def _strength(groups: DataFrame) -> float:
     return STRONGEST if rho <= 0 else round(min(STRONGEST, max(WEAKEST, 1 / rho - 1)), 6)
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_good: float = LEAST_GOOD, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_good: float = LEAST_GOOD, z: float = Z, two_labels=TWO_LABEL_SUFFIXES) -> DataFrame:
     """Judges every page by its URL.
 
     pages: page_id, url. outcomes: page_id, good (1, 0 or null): labelled pages. The longest fitting rule decides;
     where none fits, the host's reputation does. The rate of good pages of a suffix is shrunk to the rate of all,
     that of a registered domain to its suffix's, that of a host to its domain's, each by a beta prior whose
     strength is fitted to that level's groups by the method of moments. A host without labels thus has its
-    domain's rate. `block` if mean + z sd of the host's posterior is below `least_good`.
+    domain's rate. A registered domain is one label below its suffix; `two_labels` lists the suffixes of two labels (such as co.uk).
+    `block` if mean + z sd of the host's posterior is below `least_good`.
 
     The rules are configuration and become one CASE expression. Counts are pre-aggregated by host before the
-    levels are joined, so a host with a third of all pages is a single row there; the last join, back to the
+    levels are joined and written once, so a host with a third of all pages is a single row there; the last join, back to the
     pages, is an inner equi-join that Spark splits where one host is hot.
 
     Returns page_id, host, path, rule, verdict, good_rate, good_upper. A null url or one without :// has an empty
@@ -86,8 +87,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_good:
         .groupBy("host")
         .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("s"))
     )
-    domain, suffix = _parts(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    domain, suffix = _parts(F.col("host"), two_labels)
+    hosts = cut(hosts.withColumns({"domain": domain, "suffix": suffix}))  # read six times
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     every = suffixes.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
