@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm import tokens
-from quarrylight.llm.common import cut, running_total, table
+from quarrylight.llm.common import dropped, shuffle_partitions, stored, table
 
 CAPACITY, END = 1024, 2
+#: Bits of monotonically_increasing_id that number the rows of a partition.
+ROW_BITS = 33
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -142,8 +144,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The driver sees the number of pieces of each length, at most `capacity` numbers, and plans on those alone. Each
     piece finds its place by its rank among pieces of its length, from one range-partitioned running count; a length
-    that a third of all pieces share spreads over tasks by doc_id and piece.
+    that a third of all pieces share spreads over tasks by doc_id and piece. Sorted pieces are written once, compressed, each with
+    its partition and place there, so they can be read in any order.
     """
+    spark, order = pieces.sparkSession, ["length", "doc_id", "piece"]
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
     places, _ = plan(counts, capacity)
     before, first = 0, {}
@@ -152,19 +156,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         before += counts[n]
     rows = sorted((first[n] + rank, b, o, per) for n, rank, _, b, o, per in places)
     starts, bins, offsets, pers = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
-    names = [c for c in pieces.columns if not c.startswith("__")]
+    names = pieces.columns
     schema = T.StructType([pieces.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = pieces.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("__at", F.monotonically_increasing_id()))
+    sums = {int(r[0]): int(r[1]) for r in placed.groupBy(F.shiftright("__at", ROW_BITS)).agg(F.count(F.lit(1))).collect()}
+    base = np.zeros(max(sums, default=0) + 1, np.int64)
+    for p in sorted(sums):
+        base[p + 1 :] += sums[p]
 
     def place(batches):
         for b in batches:
-            pos, n = b.column("__pos").to_numpy(), b.column("length").to_numpy()
+            at, n = b.column("__at").to_numpy(), b.column("length").to_numpy()
+            pos = base[at >> ROW_BITS] + (at & ((1 << ROW_BITS) - 1))
             k = np.searchsorted(starts, pos, side="right") - 1
             bin_, slot = np.divmod(pos - starts[k], pers[k])
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in names), pa.array(bins[k] + bin_, pa.int64()), pa.array(offsets[k] + slot * n, pa.int64())], names=schema.names
             )
 
-    return running_total(pieces, ["length", "doc_id", "piece"], "__pos", then=(place, schema))[0]
+    return placed.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, payload: str = "ids") -> DataFrame:
@@ -173,7 +184,11 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     Only documents longer than `capacity` are cut; every piece but the first is full. Null and empty texts are
     one id long. Null doc_ids and repeated rows are documents like any other. Empty tables give an empty result.
     """
-    return pack(cut(tokenize(docs, path, capacity, end, payload)), capacity)  # cut: the range sampling would tokenize again
+    scratch: list[str] = []
+    pieces = stored(tokenize(docs, path, capacity, end, payload), scratch)  # the range sampling would tokenize again
+    packed = pack(pieces, capacity)
+    dropped(docs.sparkSession, scratch)
+    return packed
 
 
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,18 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack_documents(frame(spark, corpus).limit(0)).collect() == []
 
 
+def test_packing_keeps_little_on_disk(spark, tmp_path):
+    rnd = random.Random(7)
+    df = spark.createDataFrame([(i, words(rnd, 700)) for i in range(400)], "doc_id long, text string").repartition(4)
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    ids = sum(r.length for r in packing.pack_documents(df).select("length").collect())
+    spent = sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file())
+    if before:
+        spark.sparkContext.setCheckpointDir(before)
+    assert ids > 400_000 and 0 < spent < 2.5 * ids  # an id is 4 bytes in a checkpoint, and two were kept
+
+
 def test_plan_is_whole_and_tight():
     rnd = random.Random(2)
     for _ in range(60):
