@@ -231,6 +231,8 @@ WORDS = 5
 SURVEYED, COMMON = 8000, 10_000
 #: Sets of an open shingle that one task compares with as many others.
 BLOCK = 4096
+#: Shingles of the texts that one task compares with as many others, as far as no text has more.
+WEIGHT = 1 << 20
 #: Bits of a set's parity bitmap at least, a power of two; larger sets have as many as shingles, or up to twice. They fold onto fewer.
 BITS = 1024
 
@@ -391,33 +393,79 @@ def _shared(rows: DataFrame, scratch: list[str]) -> DataFrame:
     return stored(each.mapInArrow(settle, T.StructType(_LISTED.fields[1:])), scratch)
 
 
-def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
-    """Pairs of nodes of different components (found: node, root) under a shingle, as far as sizes and bitmaps allow."""
+def _spanning(root: np.ndarray, n: np.ndarray, possible, judged) -> np.ndarray:
+    """Pairs of positions that span, with equal roots, all links among sets in order of size n: fewer than there are sets.
+
+    possible(k, at) tells which of the positions `at` may link to k, judged(k, m) whether k and m do.
+    """
+    label, out = np.unique(root, return_inverse=True)[1], []
+    for k in range(len(n) - 1):
+        upto = np.searchsorted(n, 5 * n[k] // 4, "right")  # sizes rise: those beyond 1.25 n are no candidates
+        at = k + 1 + np.flatnonzero(label[k + 1 : upto] != label[k])
+        for m in at[possible(k, at)] if len(at) else ():
+            if label[m] != label[k] and judged(k, m):
+                out.append((k, m))
+                label[label == label[m]] = label[k]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (node, blocks, ...) with own, i and j: each row in every pair (i, j) of blocks that its own is one of."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select(*[c for c in rows.columns if c != "blocks"], own.alias("own"), other)
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
+def _met(batch: pa.Table):
+    """Of a pair of blocks in order of n: root, n, possible(k, at) by sizes, folded bitmaps and blocks, and whole(k, m) by bitmaps of large sets."""
+    root, n, part = (batch.column(c).to_numpy() for c in ("root", "n", "own"))
+    alone = batch.column("i")[0].as_py() == batch.column("j")[0].as_py()
+    each = batch.column("bits").to_pylist()
+    bits = np.array([_folded(x) for x in each], np.uint64).reshape(-1, BITS // 64)
+
+    def possible(k: int, at: np.ndarray) -> np.ndarray:
+        return (alone | (part[at] != part[k])) & _possible(n[k], n[at], bits[k], bits[at])
+
+    def whole(k: int, m: int) -> bool:
+        return n[k] <= BITS or bool(_possible(n[k], n[m], *(_folded(x, min(len(each[k]), len(each[m]))) for x in (each[k], each[m]))))
+
+    return root, n, possible, whole
+
+
+def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, texts: DataFrame, scratch: list[str]) -> DataFrame:
+    """Edges (a, b) between alike nodes of different components (found: node, root) that span, with those, all links that are left.
+
+    What sizes and bitmaps allow under a shingle is not listed in pairs: each block returns a forest over its components, and the components
+    of all forests, few more than the true ones, hold every link that is left. In these the texts are compared, each again giving a forest.
+    """
     placed = shared.select("s", "node").join(found, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root")).distinct()
     nodes = F.bit_xor(F.xxhash64("node")).alias("nodes")
     open_ = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"), nodes).filter("held > 2 and x < y")
     open_ = open_.groupBy("held", "nodes").agg(F.min("s").alias("s"))  # copies share many shingles; one stands for all with the same nodes
     open_ = stored(open_.select("s", F.expr(f"cast(ceil(held / {BLOCK}) as int)").alias("blocks")), scratch)
-    rows = placed.join(open_, "s").join(sets, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("s", "node", "root", "n", "bits", own.alias("own"), other)
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = _dealt(placed.join(open_, "s").join(sets, "node"))
 
     def meet(batch: pa.Table) -> pa.Table:
+        at = _spanning(*(met := _met(batch.sort_by("n"))))
+        root = met[0]
+        return pa.table({"a": pa.array(root[at[:, 0]]), "b": pa.array(root[at[:, 1]])})
+
+    near = components(rows.groupBy("s", "i", "j").applyInArrow(meet, _PAIR)).select(F.col("node").alias("root"), F.col("root").alias("near"))
+    members = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).join(near, "root")
+    members = stored(members.select("node", "root", "near", "n", "bits"), scratch)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / WEIGHT, F.lit(1))).cast("int").alias("blocks")
+    bodies = texts.select("node", "text").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    rows = _dealt(members.join(members.groupBy("near").agg(blocks), "near").join(bodies, "node"))
+
+    def judge(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by("n")
-        node, root, n, part = (batch.column(c).to_numpy() for c in ("node", "root", "n", "own"))
-        alone = batch.column("i")[0].as_py() == batch.column("j")[0].as_py()
-        bits, out = _bitmaps(batch.column("bits")), [np.zeros((0, 2), np.int64)]
-        for k in range(len(node) - 1):  # sizes rise: those beyond 1.25 n are no candidates
-            upto = np.searchsorted(n, 5 * n[k] // 4, "right")
-            fits = (root[k + 1 : upto] != root[k]) & (alone | (part[k + 1 : upto] != part[k])) & _possible(n[k], n[k + 1 : upto], bits[k], bits[k + 1 : upto])
-            met = node[k + 1 : upto][fits]
-            out.append(np.stack([np.full(len(met), node[k]), met], 1))
-        pairs = np.concatenate(out)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        node, (root, n, possible, whole) = batch.column("node").to_numpy(), _met(batch)
+        own = [np.unique(shingles_of(x.as_py(), WORDS)) for x in batch.column("text")]
+        at = _spanning(root, n, possible, lambda k, m: whole(k, m) and alike(own[k], own[m]))
+        return pa.table({"a": pa.array(node[at[:, 0]]), "b": pa.array(node[at[:, 1]])})
 
-    return stored(rows.groupBy("s", "i", "j").applyInArrow(meet, _PAIR).distinct(), scratch)
+    return stored(rows.groupBy("near", "i", "j").applyInArrow(judge, _PAIR), scratch)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -429,8 +477,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     2. No radius that parts a tree reaches down to 0.8 (such pairs differ in 10 bits on average), so every node is also listed under the
        shingles of its prefix: alike sets share one. First the nodes under a shingle are candidates with one of them, so large
        groups of copies become one component in as many pairs as nodes (and up to two nodes are done); then with all
-       nodes under it in other components, in blocks of BLOCK.
-    3. Candidates that sizes and parity bitmaps allow are compared on their whole texts; only alike ones link.
+       nodes under it in other components, in blocks of BLOCK, of which each returns a forest.
+    3. Candidates that sizes and parity bitmaps allow are compared on their whole texts; only alike ones link. Pairs are listed
+       at most once a node and shingle, however large a group of near copies is.
 
     No pair of alike texts is missed, up to equal 64-bit digests. Columns called row, node, fp, n, bits, prefix or group must not be in docs.
     """
@@ -463,9 +512,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     stars = shared.filter("5 * least(n, star_n) >= 4 * greatest(n, star_n)").select(F.col("node").alias("a"), F.col("star").alias("b"))
     links = _verified(forest.union(equals).union(stars), sets, rows, scratch)
     found = stored(components(links))
-    rest = _across(shared, found, sets, scratch)
+    rest = _across(shared, found, sets, rows, scratch)
     if rest.limit(1).count():
-        found = stored(components(links.union(_verified(rest, sets, rows, scratch))))
+        found = stored(components(links.union(rest)))
     dropped(spark, scratch)
     return rows.drop("fp", "n", "bits", "prefix").join(found, "node", "left").select(*docs.columns, "row", F.coalesce("root", "node").alias("group"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from test_operators import brute_hits, brute_removed, words
 
-from quarrylight.llm import tokens
+from quarrylight.llm import simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -122,6 +122,31 @@ def test_near_copies(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").collect() == []
 
 
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rnd, made = random.Random(4), []
+    base = words(rnd, 110).split()
+    texts = []
+    for _ in range(300):  # many pairs reach 0.8, few of them with the node that a shingle is listed with
+        at = rnd.sample(range(40, 60), 2)
+        texts.append(" ".join(f"x{rnd.random()}" if i in at else w for i, w in enumerate(base)))
+    texts += [words(rnd, 30) for _ in range(5)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    want = [rows[i] for i in sorted(set(brute_groups(texts)))]
+    df = spark.createDataFrame(rows, DOCS)
+
+    def counted(df, names=None, f=simhash.stored):
+        out = f(df, names)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    assert sorted(rows_of(corpus_pipeline.drop_near_duplicates(spark, df, "")), key=lambda r: r[0]) == want
+    assert len(texts) / 10 < max(made) < len(texts)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    assert sorted(rows_of(corpus_pipeline.drop_near_duplicates(spark, df, "")), key=lambda r: r[0]) == want
+
+
 def test_repeated_passages(spark):
     rnd = random.Random(9)
     long = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(3, 7))) for _ in range(n))
